@@ -1,0 +1,121 @@
+"""Script, DDL, graph and tracker collections derived from the sample tables.
+
+The sample tables hold no SQL text, so texts are built from their rows: one load procedure
+per part, one table definition per supplier. Sizes follow the tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHAPES = [
+    # plain load
+    """INSERT INTO {target} (a, [Total Qty])
+SELECT s.a, s.b AS [Total Qty]
+FROM {feed} s;""",
+    # join, aggregate, BETWEEN
+    """INSERT INTO {target} (region, total)
+SELECT d.region, SUM(s.amt) AS total
+FROM {feed} s
+LEFT JOIN {dim} AS d ON s.id = d.id
+WHERE s.x = 1 AND s.y BETWEEN 1 AND 5
+GROUP BY d.region;""",
+    # names with blanks
+    """INSERT INTO {target} ([{words} Start])
+SELECT s.[{words} Date] AS [{words} Start]
+FROM {feed} s
+WHERE s.[{words} Date] >= '2020-01-01';""",
+    # several statements
+    """DELETE FROM {target} WHERE id = 1;
+DELETE FROM {target} WHERE id = 2;
+INSERT INTO {target} (c1, c2)
+SELECT a.c1, a.c2 FROM {feed} a;""",
+    # session noise, wrappers, comments
+    """SET NOCOUNT ON;
+DECLARE @d INT = 5;
+BEGIN TRY
+  EXEC dbo.log_start '{name}';
+  -- INSERT INTO FAKE SELECT z.q FROM FAKE2 z
+  /* INSERT INTO FAKE SELECT z.q FROM FAKE2 z */
+  INSERT INTO {target} (note, qty)
+  SELECT '-- not a comment' AS note, s.qty
+  FROM {feed} s
+  WHERE s.qty > @d;
+END TRY
+BEGIN CATCH
+  EXEC dbo.log_error;
+END CATCH
+GO""",
+    # merge
+    """MERGE {target} AS t
+USING {feed} AS s
+ON t.id = s.id
+WHEN MATCHED THEN UPDATE SET t.amt = s.amt
+WHEN NOT MATCHED THEN INSERT (id, amt) VALUES (s.id, s.amt);""",
+    # common table expression
+    """WITH c AS (SELECT f.a, f.id FROM {feed} f)
+INSERT INTO {target} (a, name)
+SELECT c.a, d.name
+FROM c
+JOIN {dim} d ON c.id = d.id;""",
+    # derived table
+    """INSERT INTO {target} (a)
+SELECT q.a FROM (SELECT x.a FROM {feed} x WHERE x.b IN (1,2)) q
+WHERE q.a > 0 OR q.a IS NULL;""",
+    # dynamic statement only
+    """DECLARE @sql NVARCHAR(MAX);
+SET @sql = N'SELECT 1';
+EXEC sp_executesql @sql;""",
+    # wide select list
+    """INSERT INTO {target}
+SELECT CASE WHEN s.c1 > {size} THEN 'x,y' ELSE 'z' END AS f1, FLOOR(s.c2/2) AS f2, 1 AS f3, 'k' AS f4,
+  s.EndDate, s.c6, s.c7, s.c8, s.c9, s.c10, s.c11, s.c12, s.c13, s.c14, s.c15, s.c16
+FROM {feed} s
+WHERE s.BRAND = 1 AND s.EndDate > '2020-01-01'
+ORDER BY s.c6;""",
+]
+
+
+def _fill(template: str, **parts) -> F.Column:
+    """Column of the template with {names} replaced by columns."""
+    out, rest = [], template
+    while "{" in rest:
+        text, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        out += [F.lit(text), parts[name]]
+    return F.concat(*out, F.lit(rest))
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One load procedure per part: FACT_k is fed by FACT_(k/2), a tree of depth log2(n)."""
+    k = F.col("p_partkey").cast("string")
+    half = F.floor(F.col("p_partkey") / 2).cast("string")
+    feed = F.when(F.col("p_partkey") > 0, F.concat(F.lit("[ODS].[dbo].[FACT_"), half, F.lit("]"))).otherwise(
+        "[ODS].[dbo].[SRC_0]")
+    parts = {
+        "target": F.concat(F.lit("[DW].[dbo].[FACT_"), k, F.lit("]")),
+        "feed": feed,
+        "dim": F.concat(F.lit("[DW].[dbo].[DIM_"), (F.col("p_partkey") % 40).cast("string"), F.lit("]")),
+        "words": F.col("p_name"),
+        "name": F.concat(F.lit("sp_load_"), k),
+        "size": F.col("p_size").cast("string"),
+    }
+    body = F.lit("")
+    for m, shape in enumerate(_SHAPES):
+        body = F.when(F.col("p_partkey") % 10 == m, _fill(shape, **parts)).otherwise(body)
+    txt = F.concat(
+        F.when(F.col("p_partkey") % 10 == 4, "USE [DW];\nGO\n").otherwise(""),
+        F.lit("CREATE PROCEDURE [dbo].["), parts["name"], F.lit("]\nAS\nBEGIN\n"), body, F.lit("\nEND\n"),
+    )
+    name = F.concat(F.lit("sp_"), k, F.lit(".sql"))
+    return table(spark, sf_dir, "part").select(
+        name.alias("path"), name.alias("source_file"),
+        F.lit("2024-01-01").cast("timestamp").alias("modified"),
+        F.length(txt).cast("bigint").alias("length"), txt.alias("txt"),
+    )
