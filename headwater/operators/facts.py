@@ -70,7 +70,7 @@ def _clause_start() -> Column:
               & a1u.isin("JOIN", "OUTER", "APPLY", "HASH", "LOOP", "MERGE", "REMOTE"), "SIDE")
         .when((u == "WHEN") & ((a1u == "MATCHED") | (a2u == "MATCHED")), u)
         .when((u == "FOR") & a1u.isin("XML", "JSON", "BROWSE"), u)
-        .when((u == "WITH") & (F.col("a1") != "("), u)
+        .when((u == "WITH") & ~a1u.isin("(", "TIES"), u)
     )
     return F.when(F.col("own") & (u == "("), paren).when(
         F.col("own") & F.col("in_query") & (b1 != "."), word)
