@@ -11,6 +11,7 @@ from ..sources.schemas import MAPPING
 from . import facts as X
 from .facts import KEY, RESERVED
 from .statements import procedure_name
+from .tokens import by_script
 
 _NAMED = "ARRAY<STRUCT<name: STRING, tables: ARRAY<STRING>>>"
 _REF = "ARRAY<STRUCT<t: STRING, c: STRING>>"
@@ -243,7 +244,7 @@ FAILURE_REASONS = ["no_primary", "no_target", "temp_target", "no_source", "no_ma
 def extract_lineage(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     """One row per script (per statement with primary_only=False); `failure` tells why it has no lineage."""
     facts = statement_facts(scripts, primary_only)
-    base = scripts.repartition("path").select("path", "source_file", procedure_name(F.col("txt")).alias("procedure_name"))
+    base = by_script(scripts).select("path", "source_file", procedure_name(F.col("txt")).alias("procedure_name"))
     rows = base.join(facts, "path", "left")
     failure = (
         F.when(F.col("kind").isNull(), "no_primary")

@@ -40,9 +40,18 @@ def last_seen(c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
 
+def by_script(scripts: DataFrame, key: str = "path") -> DataFrame:
+    """Shuffle whole scripts by key, once.
+
+    The partition count is given so that AQE does not merge partitions by the size of the
+    compressed text: the token rows made from it are many times larger.
+    """
+    return scripts.repartition(int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def tokens(scripts: DataFrame, key: str = "path", keep_comments: bool = False) -> DataFrame:
     """(key, pos, raw, tok, utok): `raw` keeps the white space in front of the token."""
-    rows = scripts.repartition(key).select(
+    rows = by_script(scripts, key).select(
         key, F.posexplode(F.regexp_extract_all("txt", F.lit(TOKEN_RX), F.lit(0))).alias("pos", "raw")
     )
     rows = rows.withColumn("tok", F.regexp_replace("raw", r"^\s+", ""))
