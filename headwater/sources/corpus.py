@@ -119,3 +119,153 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("2024-01-01").cast("timestamp").alias("modified"),
         F.length(txt).cast("bigint").alias("length"), txt.alias("txt"),
     )
+
+
+_DDL_SHAPES = [
+    """CREATE TABLE [DW].[dbo].[SUP {key}] (
+  [Id] INT IDENTITY(1,1) NOT NULL,
+  [Code] varchar(20) NOT NULL, -- PRIMARY KEY in a comment
+  [Balance] decimal(18, 2) NULL,
+  CONSTRAINT [PK_{key}] PRIMARY KEY CLUSTERED ([Id] ASC, [Code] DESC) WITH (PAD_INDEX = OFF) ON [PRIMARY]
+) ON [PRIMARY];
+""",
+    "CREATE TABLE dbo.FACT_{key} (id INT PRIMARY KEY, name VARCHAR(50) NOT NULL);\n",
+    """CREATE TABLE IF NOT EXISTS SUP_{key} (
+  KeyCode nvarchar(max) NULL, OnSet date NOT NULL,
+  Total AS (a*b),
+  CHECK (KeyCode <> '(')
+);
+""",
+    "CREATE TABLE SUP_{prev} (Id BIGINT, Note [dbo].[Text Type], PRIMARY KEY(Id));\n",
+]
+
+
+def ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table definition per supplier; every fourth one redefines its neighbour's table."""
+    key = F.col("s_suppkey")
+    parts = {"key": key.cast("string"), "prev": (key - 1).cast("string")}
+    txt = F.lit("")
+    for m, shape in enumerate(_DDL_SHAPES):
+        txt = F.when(key % 4 == m, _fill(shape, **parts)).otherwise(txt)
+    name = F.concat(F.lit("ddl_"), parts["key"], F.lit(".sql"))
+    return table(spark, sf_dir, "supplier").select(
+        name.alias("path"), name.alias("source_file"),
+        F.lit("2024-01-01").cast("timestamp").alias("modified"),
+        F.length(txt).cast("bigint").alias("length"), txt.alias("txt"))
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """One file per row under `root` (a folder every executor mounts), spread over sub-folders."""
+    def write(part):
+        import os
+        import zlib
+
+        for row in part:
+            folder = os.path.join(root, f"d{zlib.crc32(row.source_file.encode()) % 16}")
+            os.makedirs(folder, exist_ok=True)
+            with open(os.path.join(folder, row.source_file), "wb") as f:
+                f.write(row.txt.replace("\n", "\r\n").encode() + b"\xff")
+
+    rows.select("source_file", "txt").foreachPartition(write)
+
+
+def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PART -> ORDER -> CUST -> NATION -> REGION, one edge per pair that occurs."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    pair = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"))
+    t = lambda n: table(spark, sf_dir, n)
+    return (
+        pair(t("lineitem"), name("PART_", "l_partkey"), name("ORDER_", "l_orderkey"))
+        .unionByName(pair(t("orders"), name("ORDER_", "o_orderkey"), name("CUST_", "o_custkey")))
+        .unionByName(pair(t("customer"), name("CUST_", "c_custkey"), name("NATION_", "c_nationkey")))
+        .unionByName(pair(t("nation"), name("NATION_", "n_nationkey"), name("REGION_", "n_regionkey")))
+        .distinct()
+    )
+
+
+def cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier i feeds (3i+1) mod n and (i+5) mod n: sparse, with many cycles."""
+    s = table(spark, sf_dir, "supplier")
+    n = s.count()
+    i = F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit("S_"), c.cast("string"))
+    return s.select(name(i).alias("src"), F.explode(F.array(name((i * 3 + 1) % n), name((i + 5) % n))).alias("dst")).distinct()
+
+
+_TYPES = ["direct_copy", "aggregation", "calculation", "constant"]
+
+
+def _columns(df: DataFrame, src: F.Column, dst: F.Column) -> DataFrame:
+    """Four columns per table; column j of src feeds column (j+1) mod 4 of dst."""
+    rows = df.select(src.alias("src_table"), dst.alias("dst_table"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    col = lambda c: F.concat(F.lit("C_"), c.cast("string"))
+    return rows.select("src_table", col(F.col("j")).alias("src_col"), "dst_table", col((F.col("j") + 1) % 4).alias("dst_col"),
+                       F.element_at(F.array(*[F.lit(t) for t in _TYPES[:3]]), F.col("j") % 3 + 1).alias("type"))
+
+
+def tree_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column edges of the part tree: P_(k/2) feeds P_k for k > 0."""
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("P_"), c.cast("string"))
+    return _columns(table(spark, sf_dir, "part").filter(k > 0), name(F.floor(k / 2)), name(k))
+
+
+def cycle_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column edges S_i -> S_((3i+1) mod n) over suppliers."""
+    s = table(spark, sf_dir, "supplier")
+    n = s.count()
+    i = F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit("S_"), c.cast("string"))
+    return _columns(s, name(i), name((i * 3 + 1) % n))
+
+
+def order_outcomes(spark: SparkSession, sf_dir: str, base: str, prefix: str, kind: str) -> DataFrame:
+    """Tracker rows from orders: status F is a success, O a failure, P nothing."""
+    n = table(spark, sf_dir, base).count()
+    name = F.concat(F.lit(prefix), (F.col("o_orderkey") % n).cast("string"), F.lit(".sql"))
+    status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed")
+    return table(spark, sf_dir, "orders").select(
+        F.lit(kind).alias("kind"), name.alias("source_file"), status.alias("status"),
+        F.lit("").alias("method"), F.lit("").alias("target_table"), F.lit(None).cast("bigint").alias("tables_found"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("processed_at"),
+    ).filter("status is not null")
+
+
+# Override method per market segment; one value is not a method.
+SEGMENT_METHOD = {"BUILDING": "Gemini", "MACHINERY": "nvidia", "HOUSEHOLD": "bogus", "AUTOMOBILE": "CLAUDE", "FURNITURE": "regex"}
+
+
+def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides of two priorities: by customer segment, and by suppliers in debt."""
+    method = F.lit("bogus")
+    for segment, m in SEGMENT_METHOD.items():
+        method = F.when(F.col("c_mktsegment") == segment, m).otherwise(method)
+    name = lambda c: F.concat(F.lit("SP_"), F.col(c).cast("string"), F.lit(".sql"))
+    by_customer = table(spark, sf_dir, "customer").select(
+        name("c_custkey").alias("source_file"), method.alias("method"), F.lit(0).alias("priority"))
+    by_supplier = table(spark, sf_dir, "supplier").select(
+        name("s_suppkey").alias("source_file"), F.when(F.col("s_acctbal") < 0, "GEMINI").otherwise("none").alias("method"),
+        F.lit(1).alias("priority"))
+    return by_customer.unionByName(by_supplier)
+
+
+_ANSWER = (
+    '{"target_table": "[DW].[dbo].[ANS_{conv}]", "source_tables": ["[ODS].[SRC_{turn}]", null, "B_{conv}"], '
+    '"column_mappings": [{"target_column": "[A]", "source_table": "[S]", "source_column": "[c d]", '
+    '"transformation_type": "direct_copy", "transformation_logic": "[c d]"}], "joins": [], '
+    '"filters": ["[x] = \'{\'"], "grouping": []}'
+)
+_ANSWER_SHAPES = ["@", "```json\n@\n```", "Here it is: @ (end of {answer})", "{not json} then @"]
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded model answers, one per conversation turn; some hold no JSON at all."""
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    body = F.replace(F.replace(F.lit(_ANSWER), F.lit("{conv}"), conv), F.lit("{turn}"), turn)
+    shaped = F.lit("")
+    for i, shape in enumerate(_ANSWER_SHAPES):
+        shaped = F.when(F.col("turn") % 4 == i, F.replace(F.lit(shape), F.lit("@"), body)).otherwise(shaped)
+    response = F.when(F.length("text") % 5 == 0, F.col("text")).otherwise(shaped)
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(F.lit("sp_"), conv, F.lit(".sql")).alias("source_file"),
+        F.when(F.col("turn") % 2 == 0, "claude").otherwise("gemini").alias("method"), response.alias("response"))
