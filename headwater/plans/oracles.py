@@ -67,6 +67,30 @@ PRED = """pr(m, item, conn, txt, res) AS (VALUES
   (7,0,'','q.a > 0','{f}.a > 0'), (7,1,'OR','q.a IS NULL','{f}.a IS NULL'),
   (9,0,'','s.BRAND = 1','{f}.BRAND = 1'), (9,1,'AND','s.EndDate > ''2020-01-01''','{f}.EndDate > ''2020-01-01'''))"""
 
+# DML statements: from `a` (skipping its first `skip` characters) up to `b` without its last character.
+STATEMENTS = """t(m, stmt_no, type, has_select, a, skip, b) AS (VALUES (0,1,'INSERT',true,'INSERT',0,'s;'), (1,1,'INSERT',true,'INSERT',0,'d.region;'),
+  (2,1,'INSERT',true,'INSERT',0,'01'';'), (3,1,'DELETE',false,'DELETE',0,'id = 1;'), (3,2,'DELETE',false,'id = 1;' || chr(10) || 'DELETE',8,'id = 2;'),
+  (3,3,'INSERT',true,'INSERT',0,'] a;'), (4,1,'INSERT',true,'INSERT INTO [',0,'@d;'), (5,1,'MERGE',true,'MERGE',0,'amt);'),
+  (6,1,'INSERT',true,'WITH',0,'d.id;'), (7,1,'INSERT',true,'INSERT',0,'NULL;'), (9,1,'INSERT',true,'INSERT',0,'c6;')),
+  st AS (SELECT source_file, stmt_no, type, has_select,
+    substring(txt, strpos(txt, a) + skip, strpos(txt, b) + length(b) - 1 - strpos(txt, a) - skip) AS txt FROM s JOIN t USING (m))"""
+
+# Clauses of the primary statement; table names are shortened to one form with as many tokens.
+CLAUSES = """cl(m, clause, txt) AS (VALUES (0,'INSERT','INSERT'), (0,'INTO','INTO [a].[b].[c] (a, [Total Qty])'), (0,'SELECT','SELECT s.a, s.b AS [Total Qty]'),
+  (0,'FROM','FROM [a].[b].[c] s'), (1,'INSERT','INSERT'), (1,'INTO','INTO [a].[b].[c] (region, total)'), (1,'SELECT','SELECT d.region, SUM(s.amt) AS total'),
+  (1,'FROM','FROM [a].[b].[c] s'), (1,'SIDE','LEFT'), (1,'JOIN','JOIN [a].[b].[c] AS d'), (1,'ON','ON s.id = d.id'), (1,'WHERE','WHERE s.x = 1 AND s.y BETWEEN 1 AND 5'),
+  (1,'GROUP','GROUP BY d.region'), (2,'INSERT','INSERT'), (2,'INTO','INTO [a].[b].[c] ([x Start])'), (2,'SELECT','SELECT s.[x Date] AS [x Start]'),
+  (2,'FROM','FROM [a].[b].[c] s'), (2,'WHERE','WHERE s.[x Date] >= ''2020'''), (3,'INSERT','INSERT'), (3,'INTO','INTO [a].[b].[c] (c1, c2)'),
+  (3,'SELECT','SELECT a.c1, a.c2'), (3,'FROM','FROM [a].[b].[c] a'), (4,'INSERT','INSERT'), (4,'INTO','INTO [a].[b].[c] (note, qty)'),
+  (4,'SELECT','SELECT ''--'' AS note, s.qty'), (4,'FROM','FROM [a].[b].[c] s'), (4,'WHERE','WHERE s.qty > @d'), (5,'MERGE','MERGE [a].[b].[c] AS t'),
+  (5,'USING','USING [a].[b].[c] AS s'), (5,'ON','ON t.id = s.id'), (5,'WHEN','WHEN MATCHED THEN WHEN NOT MATCHED THEN'), (5,'UPDATE','UPDATE'),
+  (5,'SET','SET t.amt = s.amt'), (5,'INSERT','INSERT (id, amt)'), (5,'VALUES','VALUES (s.id, s.amt)'), (6,'WITH','WITH c AS (SELECT f.a, f.id FROM [a].[b].[c] f)'),
+  (6,'INSERT','INSERT'), (6,'INTO','INTO [a].[b].[c] (a, name)'), (6,'SELECT','SELECT c.a, d.name'), (6,'FROM','FROM c'), (6,'JOIN','JOIN [a].[b].[c] d'),
+  (6,'ON','ON c.id = d.id'), (7,'INSERT','INSERT'), (7,'INTO','INTO [a].[b].[c] (a)'), (7,'SELECT','SELECT q.a'),
+  (7,'FROM','FROM (SELECT x.a FROM [a].[b].[c] x WHERE x.b IN (1,2)) q'), (7,'WHERE','WHERE q.a > 0 OR q.a IS NULL'), (9,'INSERT','INSERT'), (9,'INTO','INTO [a].[b].[c]'),
+  (9,'SELECT','SELECT CASE WHEN s.c1 > 1 THEN ''x'' ELSE ''z'' END AS f1, FLOOR(s.c2/2) AS f2, 1 AS f3, ''k'' AS f4, s.EndDate, s.c6, s.c7, s.c8, s.c9, s.c10, s.c11, s.c12, s.c13, s.c14, s.c15, s.c16'),
+  (9,'FROM','FROM [a].[b].[c] s'), (9,'WHERE','WHERE s.BRAND = 1 AND s.EndDate > ''2020'''), (9,'ORDER','ORDER BY s.c6'))"""
+
 EDGES = """edge AS (SELECT feed AS src, tgt AS dst, s.* FROM s WHERE m <> 8 UNION ALL
   SELECT dim AS src, tgt AS dst, s.* FROM s WHERE m = 1 OR m = 6)"""
 NODES = "node AS (SELECT DISTINCT unnest([src, dst]) AS id FROM edge)"
@@ -170,25 +194,16 @@ def oracle_sql() -> dict[str, str]:
     q["classify_expr"] = items + "SELECT source_file, cast(item AS bigint) AS item_no, typ AS transformation_type, typ = 'constant' AS is_constant FROM mapped WHERE m <> 5"
     q["resolve_alias"] = items + "SELECT source_file, cast(item AS bigint) AS item_no, res AS resolved FROM mapped WHERE m <> 5"
     q["split_commas"] = items + "SELECT source_file, cast(item AS bigint) AS item_no, item_txt AS item FROM mapped WHERE m <> 5"
-    q["clean_scripts"] = _with(S, "t(m, n) AS (VALUES (0,30), (1,69), (2,27), (3,49), (4,32), (5,56), (6,55), (7,46), (9,107))") + \
-        "SELECT source_file, cast(n AS bigint) AS n_tokens FROM s JOIN t USING (m)"
+    n_tokens = r"cast(sum(len(regexp_extract_all(txt, $$'[^']*'|\[[^\]]*\]|[A-Za-z_@][A-Za-z0-9_@]*|[0-9]+|[^ \n]$$))) AS bigint) AS n_tokens"
+    q["clean_scripts"] = _with(S, STATEMENTS) + f"SELECT source_file, {n_tokens} FROM st GROUP BY 1"
     preds = _with(S, PRED)
     q["split_predicates"] = preds + f"SELECT source_file, cast(item AS bigint) AS item_no, {_put('pr.txt')} AS item, conn AS connective FROM s JOIN pr ON s.m = pr.m"
     q["filter_facts"] = preds + f"SELECT source_file, cast(item AS bigint) AS seq, 'WHERE' AS clause, conn AS connective, {_put('res')} AS condition FROM s JOIN pr ON s.m = pr.m"
-    q["statements"] = _with(S, """t(m, stmt_no, type, has_select, a, b) AS (VALUES (0,1,'INSERT',true,'INSERT','s;'), (1,1,'INSERT',true,'INSERT','d.region;'),
-      (2,1,'INSERT',true,'INSERT','01'';'), (3,1,'DELETE',false,'DELETE','id = 1;'), (3,2,'DELETE',false,chr(10) || 'DELETE','id = 2;'),
-      (3,3,'INSERT',true,'INSERT','] a;'), (4,1,'INSERT',true,'INSERT INTO [','@d;'), (5,1,'MERGE',true,'MERGE','amt);'),
-      (6,1,'INSERT',true,'WITH','d.id;'), (7,1,'INSERT',true,'INSERT','NULL;'), (9,1,'INSERT',true,'INSERT','c6;'))""") + """
-      SELECT source_file, cast(stmt_no AS bigint) AS stmt_no, type, has_select,
-        cast(strpos(txt, b) + length(b) - 1 - strpos(txt, a) - CASE WHEN starts_with(a, chr(10)) THEN 1 ELSE 0 END AS bigint) AS n_chars FROM s JOIN t USING (m)"""
+    q["statements"] = _with(S, STATEMENTS) + """SELECT source_file, cast(stmt_no AS bigint) AS stmt_no, type, has_select,
+      cast(length(txt) AS bigint) AS n_chars FROM st"""
     q["primary_stmt"] = _with(S) + """SELECT source_file, cast(CASE WHEN m = 3 THEN 3 ELSE 1 END AS bigint) AS stmt_no,
       CASE WHEN m = 5 THEN 'MERGE' ELSE 'INSERT' END AS type FROM s WHERE m <> 8"""
-    q["clause_bounds"] = _with(S, """t(m, clause, n) AS (VALUES (0,'INSERT',1), (0,'INTO',11), (0,'SELECT',10), (0,'FROM',7),
-      (1,'INSERT',1), (1,'INTO',11), (1,'SELECT',13), (1,'FROM',7), (1,'SIDE',1), (1,'JOIN',8), (1,'ON',8), (1,'WHERE',14), (1,'GROUP',5),
-      (2,'INSERT',1), (2,'INTO',9), (2,'SELECT',6), (2,'FROM',7), (2,'WHERE',6),
-      (3,'INSERT',1), (3,'INTO',11), (3,'SELECT',8), (3,'FROM',7),
-      (4,'INSERT',1), (4,'INTO',11), (4,'SELECT',8), (4,'FROM',7), (4,'WHERE',6))""") + "SELECT 1 WHERE false"
-    del q["clause_bounds"]
+    q["clause_bounds"] = _with(S, CLAUSES) + f"SELECT source_file, clause, {n_tokens} FROM (SELECT source_file, clause, cl.txt FROM s JOIN cl ON s.m = cl.m) GROUP BY 1, 2"
     q["procedure_names"] = _with(S) + "SELECT source_file, 'SP_LOAD_' || k AS procedure_name FROM s"
     q["target_tables"] = _with(S) + "SELECT source_file, tgt AS target_table FROM s WHERE m <> 8"
     q["source_tables"] = _with(S, EDGES) + "SELECT source_file, dst AS target_table, src AS source_table FROM edge"

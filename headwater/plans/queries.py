@@ -443,7 +443,8 @@ def _ends(col_edges, side):
 def trace_inbound(spark, d):
     """Every column of the part tree back to the root table."""
     ce = corpus.tree_columns(spark, d)
-    raw = ce.select(F.col("src_table").alias("id")).exceptAll(ce.select("dst_table")).distinct()
+    raw = ce.select(F.col("src_table").alias("id")).distinct().join(
+        ce.select(F.col("dst_table").alias("id")).distinct(), "id", "left_anti")
     return _chains(C.trace_inbound(ce, _ends(ce, "dst"), raw))
 
 
