@@ -82,7 +82,7 @@ def level_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     rows = lineage_tokens(scripts, primary_only).withColumn(
         "level", F.explode(F.sequence(F.lit(0), F.greatest("depth", F.lit(0)))))
     u, b1, b2 = F.col("utok"), F.col("b1"), F.col("b2")
-    rows = rows.withColumn("own", F.col("depth") == F.col("level"))
+    rows = rows.withColumns({"own": F.col("depth") == F.col("level"), "reserved": u.isin(*RESERVED)})
     opening = F.col("own") & (u == "(")
     conn = F.col("own") & u.isin("BETWEEN", "AND", "OR") & (F.col("case_depth") <= 0)
     side = F.when(b1.isin(*_SIDES), b1).when(b2.isin(*_SIDES), b2).otherwise("INNER")
@@ -122,17 +122,10 @@ def level_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     return rows.withColumn("item_no", item)
 
 
-def _definition() -> Column:
-    """Table reference, derived table, CTE or join that this token completes, else null."""
-    u, a1, own = F.col("utok"), F.col("a1"), F.col("own")
+def _defines() -> Column:
+    """What this token completes: T table reference, D derived table, C CTE, F table function, N join."""
+    u, own, op = F.col("utok"), F.col("own"), F.col("op")
     intro, intro2 = F.col("lead_in.b1"), F.col("lead_in.b2")
-    op = F.col("op")
-    word = F.when(F.upper(a1) == "AS", F.col("a2")).otherwise(a1)
-    alias = F.when(
-        word.rlike(r'^(?s:[\p{L}_#][\p{L}\p{N}_#@$]*|\[.*\]|".*")$') & ~F.upper(word).isin(*RESERVED),
-        F.lower(unquote(word)))
-
-    named = own & F.col("ident") & (a1 != ".") & ~u.isin(*RESERVED)
     source = F.col("in_query") & (
         (intro.isin("FROM", "JOIN") & (intro2 != "DISTINCT"))
         | ((intro == "USING") & (F.col("kind") == "MERGE"))
@@ -141,36 +134,40 @@ def _definition() -> Column:
     )
     target = (F.col("level") == 0) & (
         (intro == "INTO") | ((intro == "MERGE") & (u != "INTO")) | ((intro == "UPDATE") & (F.col("kind") == "UPDATE")))
-    closes = own & (u == ")")
-    derived = closes & op["is_query"] & op["b1"].isin(*_TABLE_WORDS, ",")
-    called = closes & ~op["is_query"] & op["intro"].isin("FROM", "JOIN", "APPLY") & op["b1"].rlike(
-        r'^[\p{L}_\["]') & ~op["b1"].isin(*RESERVED)
-    cte = closes & op["is_query"] & (op["b1"] == "AS")
-
-    def row(what, table=None, alias=None, open_pos=None, use=None, join_pos=None, side=None):
-        null = lambda c, t: F.lit(None).cast(t) if c is None else c.cast(t)
-        return F.struct(
-            F.lit(what).alias("what"), F.col("pos").cast("int").alias("pos"),
-            null(table, "string").alias("table"), null(alias, "string").alias("alias"),
-            null(open_pos, "int").alias("open_pos"), null(use, "string").alias("use"),
-            null(join_pos, "int").alias("join_pos"), null(side, "string").alias("side"))
-
-    by_join = F.when(intro == "JOIN", F.col("lead_in.bpos"))
-    return (
-        F.when(named & source, row("T", table_key(F.col("tok")), alias, use=F.lit("source"), join_pos=by_join))
-        .when(named & target, row("T", table_key(F.col("tok")), alias, use=F.lit("target")))
-        .when(derived, row("D", None, alias, op["pos"], join_pos=F.when(op["b1"] == "JOIN", op["bpos"])))
-        .when(cte, row("C", table_key(F.when(op["b2"] == ")", op["prev_name"]).otherwise(op["b2"])), None, op["pos"]))
-        .when(called, row("F", table_key(op["b1"]), alias, op["pos"],
-                          join_pos=F.when(op["intro"] == "JOIN", op["intro_pos"])))
-        .when(own & (F.col("starts") == "JOIN"), row("N", join_pos=F.col("jn.pos"), side=F.col("jn.side")))
-    )
+    named = F.col("ident") & ~F.col("reserved") & (F.col("a1") != ".")
+    name_before = op["b1"].rlike(r'^[\p{L}_\["]') & ~op["b1"].isin(*RESERVED)
+    return F.when(own & named & source, "T").when(own & named & target, "T").when(
+        own & (u == ")"),
+        F.when(op["is_query"], F.when(op["b1"].isin(*_TABLE_WORDS, ","), "D").when(op["b1"] == "AS", "C"))
+        .when(op["intro"].isin("FROM", "JOIN", "APPLY") & name_before, "F"),
+    ).when(own & (F.col("starts") == "JOIN"), "N")
+
+
+def _definition() -> Column:
+    """Details of what a defining token completes."""
+    what, op = F.col("what"), F.col("op")
+    intro = F.col("lead_in.b1")
+    word = F.when(F.upper("a1") == "AS", F.col("a2")).otherwise(F.col("a1"))
+    named = what.isin("T", "D", "F") & word.rlike(r'^(?s:[\p{L}_#][\p{L}\p{N}_#@$]*|\[.*\]|".*")$') & ~F.upper(word).isin(*RESERVED)
+    name = F.when(what == "T", F.col("tok")).when(what == "F", op["b1"]).when(
+        what == "C", F.when(op["b2"] == ")", op["prev_name"]).otherwise(op["b2"]))
+    join_pos = (
+        F.when((what == "T") & (intro == "JOIN"), F.col("lead_in.bpos"))
+        .when((what == "D") & (op["b1"] == "JOIN"), op["bpos"])
+        .when((what == "F") & (op["intro"] == "JOIN"), op["intro_pos"])
+        .when(what == "N", F.col("jn.pos")))
+    use = F.when(what == "T", F.when(intro.isin("INTO", "MERGE", "UPDATE"), "target").otherwise("source"))
+    return F.when(what.isNotNull(), F.struct(
+        what.alias("what"), F.col("pos").alias("pos"), F.when(name.isNotNull(), table_key(name)).alias("table"),
+        F.when(named, F.lower(unquote(word))).alias("alias"),
+        F.when(what.isin("D", "C", "F"), op["pos"]).alias("open_pos"), use.alias("use"),
+        join_pos.alias("join_pos"), F.when(what == "N", F.col("jn.side")).alias("side"))).cast(DEFINITION)
 
 
 def _piece() -> Column:
     """Token of an item with the column it refers to and the prefix that may be an alias."""
     u, tok, a1, b1, b2 = F.col("utok"), F.col("tok"), F.col("a1"), F.col("b1"), F.col("b2")
-    ident = F.col("ident") & ~u.isin(*RESERVED) & ~tok.startswith("@")
+    ident = F.col("ident") & ~F.col("reserved") & ~tok.startswith("@")
     qualified = b1 == "."
     after_name = (b1.rlike(r'^(?s:[\p{L}_#\["\'].*|\))$') & ~b1.isin(*RESERVED)) | (b1 == "AS")
     typed = (b1 == "(") & b2.isin(*KEYWORD_ARGUMENT)
@@ -203,13 +200,14 @@ def fact_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     separator = own & F.when(word.isin("WHERE", "HAVING"), F.col("is_conn")).otherwise(u == ",")
     skipped = (F.col("pos") == ev["pos"]) | (own & (u == ")") & (level > 0)) | (
         own & (u == "BY") & (F.col("b1") == "GROUP"))
+    rows = rows.select("*", fact.alias("fact"), separator.alias("sep"), _defines().alias("what"))
+    rows = rows.filter(F.col("what").isNotNull() | (F.col("fact").isNotNull() & ~skipped))
     rows = rows.select(
-        *KEY, "kind", "pos", fact.alias("fact"), "item_no", ev["pos"].alias("ev_pos"), F.col("jn.pos").alias("jn_pos"),
-        _definition().cast(DEFINITION).alias("def"), separator.alias("sep"), skipped.alias("skipped"),
-        u.alias("u"), _piece().alias("piece"),
+        *KEY, "kind", "pos", "fact", "item_no", F.col("ev.pos").alias("ev_pos"), F.col("jn.pos").alias("jn_pos"), "sep",
+        F.col("utok").alias("u"), _definition().alias("def"),
+        F.when(F.col("what").isNull() & ~F.col("sep"), _piece()).alias("piece"),
     )
     is_def = F.col("def").isNotNull()
-    rows = rows.filter(is_def | (F.col("fact").isNotNull() & ~F.col("skipped")))
     grouped = rows.groupBy(
         *KEY, "kind",
         F.when(is_def, F.col("def.what")).otherwise(F.col("fact")).alias("fact"),
@@ -219,5 +217,5 @@ def fact_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     return grouped.agg(
         F.max("def").alias("def"),
         F.max(F.when(F.col("sep"), F.col("u"))).alias("connective"),
-        F.array_sort(F.collect_list(F.when(~F.col("sep") & ~is_def, F.col("piece")))).alias("pieces"),
+        F.array_sort(F.collect_list("piece")).alias("pieces"),
     )
