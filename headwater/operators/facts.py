@@ -171,7 +171,9 @@ def _piece() -> Column:
     qualified = b1 == "."
     after_name = (b1.rlike(r'^(?s:[\p{L}_#\["\'].*|\))$') & ~b1.isin(*RESERVED)) | (b1 == "AS")
     typed = (b1 == "(") & b2.isin(*KEYWORD_ARGUMENT)
-    in_from = F.col("lead_in.b1").isin("FROM", "JOIN", "INTO", "USING")
+    intro, intro2, intro3 = (F.col(f"lead_in.{b}") for b in ("b1", "b2", "b3"))
+    function_from = (intro == "FROM") & (intro2 != ")") & intro3.isin("(", "LEADING", "TRAILING", "BOTH")
+    in_from = intro.isin("FROM", "JOIN", "INTO", "USING") & ~function_from
     is_column = (ident & ~a1.isin(".", "(") & ~in_from & (qualified | (~after_name & ~typed))) | (
         qualified & (u == "*"))
     name = unquote(tok)

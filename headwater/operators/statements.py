@@ -55,7 +55,7 @@ def statement_tokens(scripts: DataFrame) -> DataFrame:
     to = lambda n: F.coalesce(F.lead("tok", n).over(_text_order()), F.lit(""))
     next_raw = F.lead("raw", 1).over(_text_order())
     rows = rows.select(
-        "*", at(1).alias("b1"), at(2).alias("b2"), to(1).alias("a1"), to(2).alias("a2"),
+        "*", at(1).alias("b1"), at(2).alias("b2"), at(3).alias("b3"), to(1).alias("a1"), to(2).alias("a2"),
         to(3).alias("a3"), F.lag("pos", 1).over(_text_order()).alias("bpos"),
         (
             (F.col("utok") == "GO")
@@ -78,7 +78,7 @@ def statement_tokens(scripts: DataFrame) -> DataFrame:
         last_seen("event").over(before(["path"])).alias("prev_event"),
         last_seen("clause_word").over(before(["path"])).alias("prev_clause"),
         F.sum("case_step").over(running(["path"])).alias("case_cum"),
-        last_seen(F.when(F.col("name_start"), F.struct("b1", "b2", "bpos"))).over(running(["path"])).alias("lead_in"),
+        last_seen(F.when(F.col("name_start"), F.struct("b1", "b2", "b3", "bpos"))).over(running(["path"])).alias("lead_in"),
     ).withColumn(
         "opens",
         e.isNotNull()
