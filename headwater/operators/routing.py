@@ -178,7 +178,7 @@ def user_stage(scripts: DataFrame, fn, schema: str) -> DataFrame:
                 except Exception as e:  # the error is data here
                     row["error"] = f"Exception: {e}"
                 out.append(row)
-            yield pd.DataFrame(out, columns=["path", "source_file", *fields, "error"])
+            yield pd.DataFrame(out, columns=["path", "source_file", *fields, "error"], dtype=object)
 
     return scripts.select("path", "source_file", "txt").mapInPandas(
         run, f"path STRING, source_file STRING, {schema}, error STRING")
