@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import snippet, utc_iso
+from ..functions.expressions import utc_iso
 from ..sources.schemas import METHODS, MODEL_METHODS
 
 # Patterns that measure a script, thresholds and weights.
@@ -38,8 +38,8 @@ def top_level_commas(c: Column) -> Column:
     return F.aggregate(F.split(marks, ""), zero, step, lambda acc: acc["n"])
 
 
-def signals(scripts: DataFrame) -> DataFrame:
-    """Thirteen measures of the raw text, comments included."""
+def signals(scripts: DataFrame, *more: Column) -> DataFrame:
+    """Thirteen measures of the raw text, comments included, and whatever else one scan should yield."""
     txt = F.col("txt")
     n = lambda rx: F.regexp_count(txt, F.lit(rx)).cast("bigint")
     lists = F.regexp_extract_all(txt, F.lit(SELECT_LIST), F.lit(1))
@@ -51,7 +51,7 @@ def signals(scripts: DataFrame) -> DataFrame:
         *[n(rx).alias(name) for name, rx in COUNTS.items()],
         *[txt.rlike(rx).alias(name) for name, rx in FLAGS.items()],
         F.coalesce(widest, F.lit(0)).cast("bigint").alias("max_select_column_count"),
-        n(MULTIWORD).alias("bracketed_multiword_identifier_count"))
+        n(MULTIWORD).alias("bracketed_multiword_identifier_count"), *more)
 
 
 def _rules() -> list[tuple[Column, int, Column]]:
@@ -149,10 +149,10 @@ def waterfall(plan: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFr
     return winners, failed
 
 
-def failure_records(failed: DataFrame, scripts: DataFrame, timestamp: Column | None = None) -> DataFrame:
-    """Failure log rows with the time and the start of the script."""
+def failure_records(failed: DataFrame, snippets: DataFrame, timestamp: Column | None = None) -> DataFrame:
+    """Failure log rows with the time and the start of the script, from `snippets(path, sp_snippet)`."""
     stamp = utc_iso() if timestamp is None else timestamp
-    return failed.join(scripts.select("path", snippet(F.col("txt")).alias("sp_snippet")), "path").select(
+    return failed.join(snippets.select("path", "sp_snippet"), "path").select(
         stamp.alias("timestamp"), "source_file", "failure_reason", "step1_error", "step2_error", "step3_error",
         "step4_error", "sp_snippet")
 

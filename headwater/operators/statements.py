@@ -114,7 +114,8 @@ def statement_tokens(scripts: DataFrame) -> DataFrame:
 
 
 def _with_totals(rows: DataFrame) -> DataFrame:
-    """On the last token of each statement, the totals since its first token."""
+    """On the last token of each statement, the totals since its first token; noise is dropped."""
+    rows = rows.filter(F.col("word").isin(*DML, "SELECT", "WITH"))
     counters = ["n_sel", "n_into", "n_from", "n_chr"]
     start = F.struct(*[(F.col(f"{c}_cum") - F.col(c)).alias(c) for c in counters], "pos")
     rows = rows.select(
@@ -137,8 +138,7 @@ def statements(scripts: DataFrame) -> DataFrame:
     """One row per DML statement: number among DML statements, type, size, has_select, text."""
     rows = _with_totals(statement_tokens(scripts))
     whole = (
-        rows.filter(F.col("stmt_no") > 0)
-        .groupBy("path", "stmt_no")
+        rows.groupBy("path", "stmt_no")
         .agg(
             F.max(F.when(F.col("is_end"), F.struct("kind", "has_select", "n_chars", "start_pos"))).alias("t"),
             F.array_join(

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import snippet
 from ..functions.shared import materialise
 from ..operators import catalogue as K
 from ..operators import graph as G
@@ -64,7 +65,9 @@ def analyse(scripts: DataFrame, ddl: DataFrame, tracker: DataFrame, overrides: D
     catalogue = K.latest(found_tables)
     if stored_catalogue is not None:
         catalogue = K.merge(catalogue, stored_catalogue)
-    routed = M.route(M.recommend(M.score(M.signals(todo)), prefer_model), overrides)
+    # One scan for the measures and the excerpts, one for the extraction.
+    scored = materialise(M.score(M.signals(todo, snippet(F.col("txt")).alias("sp_snippet"))), "scored")
+    routed = M.route(M.recommend(scored, prefer_model), overrides)
     found = materialise(candidates(todo, answers), "candidates")
     winners, failed = M.waterfall(M.attempts(routed, available), found)
     winners, failed = materialise(winners, "winners"), materialise(failed, "failed")
@@ -77,7 +80,7 @@ def analyse(scripts: DataFrame, ddl: DataFrame, tracker: DataFrame, overrides: D
             "tables_found", F.lit(processed_at).alias("processed_at")))
     if stored is not None:
         records = I.merge_results(records, stored.select(*records.columns))
-    return Run(records, M.failure_records(failed, todo, timestamp), catalogue, I.upsert(tracker, outcomes))
+    return Run(records, M.failure_records(failed, scored, timestamp), catalogue, I.upsert(tracker, outcomes))
 
 
 def graph_tables(records: DataFrame, catalogue: DataFrame) -> dict[str, DataFrame]:

@@ -190,15 +190,15 @@ def grouping_facts(spark, d):
     return R.grouping(corpus.scripts(spark, d)).select(F.col("path").alias("source_file"), *_big("seq"), "item")
 
 
-def _summary(rows: DataFrame) -> DataFrame:
+def _summary(rows: DataFrame, *more: str) -> DataFrame:
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(f"n_{c}")
     return rows.select("source_file", "procedure_name", "target_table", _csv("source_tables").alias("sources_csv"),
-                       n("column_mappings"), n("joins"), n("filters"), n("grouping"))
+                       n("column_mappings"), n("joins"), n("filters"), n("grouping"), *more)
 
 
 def lineage_records(spark, d):
     rows = R.extract_lineage(corpus.scripts(spark, d))
-    return _summary(rows).join(rows.select("source_file", "failure"), "source_file").na.fill("")
+    return _summary(rows, "failure").na.fill("")
 
 
 def lineage_normalised(spark, d):
@@ -275,8 +275,8 @@ def run_summary(spark, d):
 def failures_log(spark, d):
     """Append the failures to a JSON log, read it back."""
     log = new_path(spark, "failures")
-    scripts = corpus.scripts(spark, d)
-    files.append_failures(M.failure_records(_waterfall(spark, d)[1], scripts, F.lit(STAMP)), log)
+    texts = corpus.scripts(spark, d).select("path", E.snippet(F.col("txt")).alias("sp_snippet"))
+    files.append_failures(M.failure_records(_waterfall(spark, d)[1], texts, F.lit(STAMP)), log)
     return files.read_failures(spark, log).select(
         "timestamp", "source_file", "failure_reason", "step1_error", "step2_error", "step3_error", "step4_error", "sp_snippet")
 

@@ -155,15 +155,17 @@ def ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_files(rows: DataFrame, root: str) -> None:
-    """One file per row under `root` (a folder every executor mounts), spread over sub-folders."""
+    """One file per row under `root` (a folder every executor reaches), spread over sub-folders."""
     def write(part):
-        import os
         import zlib
 
+        from pyarrow import fs
+
+        target, base = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
         for row in part:
-            folder = os.path.join(root, f"d{zlib.crc32(row.source_file.encode()) % 16}")
-            os.makedirs(folder, exist_ok=True)
-            with open(os.path.join(folder, row.source_file), "wb") as f:
+            folder = f"{base}/d{zlib.crc32(row.source_file.encode()) % 16}"
+            target.create_dir(folder, recursive=True)
+            with target.open_output_stream(f"{folder}/{row.source_file}") as f:
                 f.write(row.txt.replace("\n", "\r\n").encode() + b"\xff")
 
     rows.select("source_file", "txt").foreachPartition(write)
