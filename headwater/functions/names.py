@@ -23,6 +23,11 @@ def table_key_with_schema(c: Column) -> Column:
     return F.upper(F.concat_ws(".", F.nullif(_trim_ws(schema), F.lit("")), _trim_ws(table)))
 
 
+def file_name(path: Column) -> Column:
+    """Bare file name, the identity of a script."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def drop_brackets(c: Column) -> Column:
     return F.translate(c, "[]", "")
 

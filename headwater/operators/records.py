@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import classify
-from ..functions.names import drop_brackets, table_key
+from ..functions.names import drop_brackets, file_name, table_key
 from ..sources.schemas import MAPPING
 from . import facts as X
 from .facts import KEY, RESERVED
@@ -244,8 +244,11 @@ FAILURE_REASONS = ["no_primary", "no_target", "temp_target", "no_source", "no_ma
 def extract_lineage(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     """One row per script (per statement with primary_only=False); `failure` tells why it has no lineage."""
     facts = statement_facts(scripts, primary_only)
-    base = by_script(scripts).select("path", "source_file", procedure_name(F.col("txt")).alias("procedure_name"))
-    rows = base.join(facts, "path", "left")
+    # Both sides read one exchange of (path, txt). The merge hint keeps Spark from broadcasting
+    # the facts by an estimate that does not know how many tokens a text holds.
+    base = by_script(scripts).select(
+        "path", file_name(F.col("path")).alias("source_file"), procedure_name(F.col("txt")).alias("procedure_name"))
+    rows = base.hint("merge").join(facts, "path", "left")
     failure = (
         F.when(F.col("kind").isNull(), "no_primary")
         .when(F.coalesce("target_table", F.lit("")) == "", "no_target")

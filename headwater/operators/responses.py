@@ -59,5 +59,5 @@ def parse_responses(responses: DataFrame, keys: list[str] | None = None) -> Data
     keys = keys or ["source_file", "method"]
     found = json_objects(responses, keys).withColumn("r", F.from_json("json", ANSWER))
     found = _without_brackets(found.select(*keys, "r.*"))
-    return responses.select(*keys).join(found, keys, "left").withColumn(
+    return responses.select(*keys).hint("merge").join(found, keys, "left").withColumn(
         "is_valid", F.coalesce(F.col("target_table") != "", F.lit(False)))

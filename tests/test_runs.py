@@ -90,11 +90,11 @@ def test_answers(spark):
 
 def test_files(spark, tmp):
     os.makedirs(f"{tmp}/sp/deep dir")
-    for name, data in {"a.sql": b"\xef\xbb\xbfSELECT 1\r\n\xff-- x\r", "deep dir/b c.sql": b"SELECT 2", "blank.sql": b" \r\n", "note.txt": b"no"}.items():
+    for name, data in {"a.sql": b"\xef\xbb\xbfSELECT 1\r\n\xff-- x\r", "deep dir/b +1%.sql": b"SELECT 2", "blank.sql": b" \r\n", "note.txt": b"no"}.items():
         with open(f"{tmp}/sp/{name}", "wb") as f:
             f.write(data)
     assert {(r.source_file, r.txt) for r in files.read_scripts(spark, f"{tmp}/sp").collect()} == {
-        ("a.sql", "SELECT 1\n-- x\n"), ("b c.sql", "SELECT 2")}
+        ("a.sql", "SELECT 1\n-- x\n"), ("b +1%.sql", "SELECT 2")}
     with open(f"{tmp}/log.json", "w") as f:
         f.write('{"timestamp": "t", "source_file": "a"}\n\n{broken\n{"timestamp": "t", "source_file": "b"}\n')
     assert [r.source_file for r in files.read_failures(spark, f"{tmp}/log.json").orderBy("source_file").collect()] == ["a", "b"]
