@@ -80,7 +80,7 @@ def level_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     """Token rows per level with the clause (`ev`) and the item number inside it."""
     by = [*KEY, "level"]
     rows = lineage_tokens(scripts, primary_only).withColumn(
-        "level", F.explode(F.sequence(F.lit(0), F.greatest("depth", F.lit(0)))))
+        "level", F.explode_outer(F.sequence(F.lit(0), F.greatest("depth", F.lit(0)))))
     u, b1, b2 = F.col("utok"), F.col("b1"), F.col("b2")
     rows = rows.withColumns({"own": F.col("depth") == F.col("level"), "reserved": u.isin(*RESERVED)})
     opening = F.col("own") & (u == "(")

@@ -58,8 +58,8 @@ def edge_facts(records: DataFrame) -> DataFrame:
         F.filter(F.array(fact("procedure", F.col("procedure_name")), fact("method", F.col("extraction_method"))),
                  lambda x: x["k1"] != ""),
     )
-    rows = rows.select("path", "source_file", "src", "dst", F.posexplode(facts).alias("no", "f")).select(
-        "path", "source_file", "src", "dst", "no", "f.*")
+    rows = rows.select("path", "source_file", "src", "dst", F.posexplode_outer(facts).alias("no", "f")).select(
+        "path", "source_file", "src", "dst", "no", "f.*").filter("kind is not null")
     return rows.groupBy("src", "dst", "kind", "k1", "k2", "k3", "k4").agg(
         F.min_by("detail", _seq("no")).alias("detail"))
 
@@ -78,7 +78,7 @@ def nodes(records: DataFrame) -> DataFrame:
     used = F.transform(F.arrays_zip("source_tables", "source_tables_qualified"), lambda z: F.struct(
         z["source_tables"].alias("id"), z["source_tables_qualified"].alias("raw")))
     rows = records.filter(F.coalesce("target_table", F.lit("")) != "").select(
-        "path", "source_file", F.posexplode(F.concat(named, used)).alias("no", "n"))
+        "path", "source_file", F.posexplode_outer(F.concat(named, used)).alias("no", "n"))
     rows = rows.select("path", "source_file", "no", "n.id", "n.raw").filter(F.coalesce("id", F.lit("")) != "")
     return rows.groupBy("id").agg(
         F.min_by("raw", F.struct((-F.length("raw")).alias("l"), "source_file", "path", "no")).alias("display_name"))

@@ -25,7 +25,7 @@ def json_objects(responses: DataFrame, keys: list[str]) -> DataFrame:
     rows = responses.select(*keys, body.alias("body")).withColumn(
         "body", F.expr("substring(body, instr(body, '{'))")).filter(F.col("body").startswith("{"))
     pieces = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).select(
-        *keys, "body", F.posexplode(F.regexp_extract_all("body", F.lit(_PIECE), F.lit(0))).alias("pos", "p"))
+        *keys, "body", F.posexplode_outer(F.regexp_extract_all("body", F.lit(_PIECE), F.lit(0))).alias("pos", "p"))
     step = F.when(F.col("p") == "{", 1).when(F.col("p") == "}", -1).otherwise(0)
     pieces = pieces.select(
         *keys, "body", "pos", "p",

@@ -46,15 +46,18 @@ def by_script(scripts: DataFrame, key: str = "path") -> DataFrame:
     The partition count is given so that AQE does not merge partitions by the size of the
     compressed text: the token rows made from it are many times larger.
     """
-    return scripts.repartition(int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    # The filter is one Spark infers for joins on the key; stated here, both sides share a shuffle.
+    return scripts.filter(scripts[key].isNotNull()).repartition(int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def tokens(scripts: DataFrame, key: str = "path", keep_comments: bool = False) -> DataFrame:
     """(key, pos, raw, tok, utok): `raw` keeps the white space in front of the token."""
+    # An inner explode would make Spark tokenise each text a second time, in a filter on the
+    # size of the array below the shuffle.
     rows = by_script(scripts, key).select(
-        key, F.posexplode(F.regexp_extract_all("txt", F.lit(TOKEN_RX), F.lit(0))).alias("pos", "raw")
+        key, F.posexplode_outer(F.regexp_extract_all("txt", F.lit(TOKEN_RX), F.lit(0))).alias("pos", "raw")
     )
-    rows = rows.withColumn("tok", F.regexp_replace("raw", r"^\s+", ""))
+    rows = rows.filter("raw is not null").withColumn("tok", F.regexp_replace("raw", r"^\s+", ""))
     if not keep_comments:
         rows = rows.filter(~(F.col("tok").startswith("--") | F.col("tok").rlike(r"^/\*.")))
     return rows.withColumn("utok", F.upper("tok"))

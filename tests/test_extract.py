@@ -197,3 +197,14 @@ def test_partitions_do_not_matter(spark):
         out.append(sorted(map(str, R.extract_lineage(make_scripts(spark, few)).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1]
+
+
+def test_texts_are_read_and_shuffled_once(spark, tmp_path):
+    from headwater.sources import files
+
+    for i in range(3):
+        (tmp_path / f"s{i}.sql").write_text(f"INSERT INTO t{i} SELECT s.a FROM src{i} s")
+    df = R.extract_lineage(files.read_scripts(spark, str(tmp_path)))
+    assert len(df.collect()) == 3
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("FileScan") == 1 and "Broadcast" not in plan
