@@ -11,7 +11,7 @@ CASES = {
         SELECT c.id, c.name, COUNT(o.id) AS n, SUM(o.amount) AS revenue, MAX(o.day) AS last_day
         FROM [Shop].[dbo].[CUSTOMERS] c LEFT JOIN [Shop].[dbo].[ORDERS] o ON c.id = o.cust_id
         GROUP BY c.id, c.name; END""",
-    "blanks": "INSERT INTO [dbo].[Target] ([First Day]) SELECT ta.[RTT Start Date] AS [First Day] FROM dbo.A ta",
+    "blanks": "INSERT INTO [dbo].[Target] ([First Day]) SELECT v.[Sent On] AS [First Day] FROM dbo.A v",
     "deletes": """DELETE FROM [dbo].[T] WHERE id = 1; DELETE FROM [dbo].[T] WHERE id = 2;
         INSERT INTO [dbo].[T] (a, b) SELECT s.a, s.b FROM [dbo].[S] s;""",
     "comments": """/* outer /* inner */ INSERT INTO no SELECT x FROM no */ INSERT INTO t -- FROM fake
@@ -74,7 +74,7 @@ def test_simple(found):
 
 
 def test_bracketed_names(found):
-    assert maps(found["blanks"]) == [("FIRST DAY", "A", "RTT START DATE", "direct_copy")]
+    assert maps(found["blanks"]) == [("FIRST DAY", "A", "SENT ON", "direct_copy")]
 
 
 def test_primary_statement(found):
