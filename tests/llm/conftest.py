@@ -1,0 +1,29 @@
+import pytest
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, task int, length int, rank int, piece int"
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """Rows (doc_id, text, source) as documents, with columns whose names operators use inside."""
+    def make(rows):
+        full = [(i, t, "en", s, None if t is None else len(t), 7, 7, 7, 7) for i, t, s in rows]
+        return spark.createDataFrame(full, DOCS)
+    return make
+
+
+AWKWARD = [
+    (3, "Plain words, and more words here.\nA second line of five words.", "a"), (1, None, "a"), (2, "", None), (None, "no id at all", "b"),
+    (5, " \t\n ", "b"), (7, "Élan ñandú über groß İstanbul 12.5 it's <|endoftext|> x", "b"), (8, "same text twice over", "a"),
+    (8, "same text twice over", "a"), (9, "word " * 6000, "c"), (10, "\x1c odd \x85 blanks here \U0001f600", "c"),
+]
+
+
+@pytest.fixture(scope="session")
+def awkward(documents):
+    return documents(AWKWARD)
+
+
+@pytest.fixture(scope="session")
+def nothing(documents):
+    return documents([])

@@ -1,0 +1,121 @@
+"""Packing and binary output against the tokenizers library itself."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from headwater.llm import common, packing, queries, wavelet
+from headwater.llm.encode import Encoder
+
+from .conftest import AWKWARD
+
+PATH = queries.word_vocabulary()
+WHOLE = Tokenizer.from_file(PATH)
+
+
+def encoded(text):
+    return WHOLE.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def test_encoder_equals_whole_text_encoding(spark, sf):
+    texts = [r.text or "" for r in common.table(spark, sf, "documents").collect()] + [t or "" for _, t, _ in AWKWARD]
+    texts += ["don't WE'LL o'clock", "á é́ ßẞ", "x" * 5000, "tab\tand wide\r\nline", "½ ² Ⅷ ١٢"]
+    enc = Encoder(PATH, chunks=500)
+    for text in texts:
+        assert np.frombuffer(enc.ids(text), dtype="<u4").tolist() == encoded(text)
+
+
+def check_packing(rows, source, size):
+    """Pieces cover each document, sequences are gapless and within size."""
+    wanted = Counter()
+    for doc, text in source:
+        ids = encoded(text) + [1]
+        for piece, at in enumerate(range(0, len(ids), size)):
+            part = ids[at:at + size]
+            wanted[doc, piece, at, len(part), crc(part)] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == wanted
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= size
+    total = sum(r.length for r in rows)
+    assert len(bins) <= -(-total // size) * 1.1 + 1
+    return len(bins)
+
+
+def test_packing_awkward(awkward, nothing):
+    check_packing(packing.pack(awkward, PATH, size=64).collect(), [(i, t) for i, t, _ in AWKWARD], 64)
+    assert packing.pack(nothing, PATH).collect() == []
+
+
+def test_packing_query(spark, sf):
+    docs = common.table(spark, sf, "documents").collect()
+    rows = queries.op1_packing(spark, sf).collect()
+    check_packing(rows, [(d.doc_id, d.text) for d in docs], 4096)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fullest_is_the_best_subset(seed):
+    rng = random.Random(seed)
+    for _ in range(30):
+        counts = {n: rng.randint(1, 4) for n in rng.sample(range(1, 30), rng.randint(1, 6))}
+        room = rng.randint(0, 60)
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        chosen = packing.fullest(counts, sorted(counts), room)
+        assert sum(n * m for n, m in chosen) == max(s for s in sums if s <= room)
+        assert all(m <= counts[n] for n, m in chosen)
+
+
+def test_plan_places_every_rank_once():
+    rng = random.Random(1)
+    counts = {n: rng.choice([1, 2, 9, 500]) for n in rng.sample(range(1, 101), 60)}
+    ranks = Counter()
+    for length, _, _, _, _ in packing.plan(counts, 100):
+        ranks[int(length)] += 1
+    bins = packing.plan(counts, 100)[:, 3]
+    need = sum(n * c for n, c in counts.items())
+    assert set(ranks) == set(counts) and bins.max() + 1 >= need / 100
+
+
+def test_wavelet_file_access():
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 49_000).astype(np.uint32)
+    raw = wavelet.build(ids, [4, None], np.array([150_000, 50_000]))
+    file = wavelet.WaveletFile(lambda at, n: raw[at:at + n])
+    assert len(raw) < 2 * len(ids)
+    assert (file.tokens() == ids).all() and file.doc_ids == [4, None]
+    for i in [0, 1, 65_535, 65_536, 131_072, 199_999, *rng.integers(0, len(ids), 50).tolist()]:
+        assert file.access(i) == ids[i]
+    for token in [1, 2, 77, 48_999, 65_535, 70_000]:
+        assert file.count(token) == (ids == token).sum()
+        assert file.count(token, 1000, 170_001) == (ids[1000:170_001] == token).sum()
+    assert file.places(77) == np.flatnonzero(ids == 77).tolist() and file.places(49_407) == []
+    with pytest.raises(IndexError):
+        file.access(len(ids))
+
+
+def test_wavelet_round_trip(spark, sf, awkward, nothing):
+    for docs in (awkward, common.table(spark, sf, "documents")):
+        rows = sorted((tuple(r) for r in wavelet.write_and_read(docs, PATH, chars_per_shard=30_000).collect()), key=lambda r: r[1])
+        source = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+        at = 0
+        for (doc, start, n, check), (doc_id, text) in zip(rows, source, strict=True):
+            ids = encoded(text) + [2]
+            assert (doc, start, n, check) == (doc_id, at, len(ids), crc(ids))
+            at += len(ids)
+    assert wavelet.write_and_read(nothing, PATH).collect() == []
