@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from headwater.plans import oracles, queries
 
-QUERIES = registered.queries()
-ORACLES = registered.oracle_sql()
+QUERIES = queries.queries()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,7 @@ def duck(sf):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(registered.queries()) and set(ORACLES) <= set(registered.oracle_sql())
 
 
 def test_entry(spark):
