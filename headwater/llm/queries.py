@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, topk, wavelet
+from . import mixing, packing, sampling, setjoin, topk, wavelet
 from .common import table
 
 
@@ -34,8 +34,16 @@ def op7_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.taken(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_setjoin(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.classes(table(spark, d, "documents"))
+
+
+def op10_sampling(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.fingerprints(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_topk, op5_wavelet, op7_mixing)}
+    return {f.__name__: f for f in (op1_packing, op3_topk, op5_wavelet, op7_mixing, op8_setjoin, op10_sampling)}
 
 
 TOP_K = """
@@ -82,5 +90,24 @@ FROM r GROUP BY doc_id, source_no, key, size, source_size, target
 """
 
 
+SET_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles FROM w
+), e AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY x, y, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r(x, y) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, (SELECT min(y) FROM r WHERE r.x = s.doc_id) AS component_id FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOP_K, "op7_mixing": MIX}
+    return {"op3_topk": TOP_K, "op7_mixing": MIX, "op8_setjoin": SET_JOIN}
