@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import materialise
@@ -41,3 +43,43 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+#: A table of at most so many rows of a key and a node may be sent to every task (about 16 MB).
+SMALL_ROWS = 500_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A written table with the broadcast hint where its counted rows are few; else as it is."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def shared_posts(keys: DataFrame, name: str) -> DataFrame:
+    """Rows (key, node, attr, lo) of the index keys that two nodes or more have; lo is a key's smallest node."""
+    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+    ends = materialise(ends.select("key", "lo"), f"{name}-keys")
+    return materialise(keys.join(if_small(ends), "key").distinct(), f"{name}-posts")
+
+
+def linked(posts: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Components (node, component) over the verified links of nodes that share a key.
+
+    First every node of a key is compared with the key's smallest node. What links becomes a
+    component. Then all pairs of a key that lie in different components yet are compared. No link
+    between components is missed, and a group of copies costs one comparison per node, not all
+    pairs. `near` is a cheap necessary condition on the attributes of two nodes; `verify` keeps the
+    true links of a table (a, b).
+    """
+    smallest = posts.filter("node = lo").select("key", F.col("attr").alias("lo_attr")).distinct()
+    star = posts.filter("node <> lo").join(smallest, "key").filter(near(F.col("attr"), F.col("lo_attr")))
+    tried = materialise(star.select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), f"{name}-star")
+    links = materialise(verify(tried), f"{name}-links")
+    found = components(links)
+    own = posts.join(found, "node", "left").select("key", "node", "attr", F.coalesce("component", "node").alias("component"))
+    own = materialise(own, f"{name}-own")
+    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    own = own.join(mixed, "key", "left_semi")
+    other = own.select("key", F.col("node").alias("b"), F.col("attr").alias("b_attr"), F.col("component").alias("b_component"))
+    rest = own.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("b_component")) & near(F.col("attr"), F.col("b_attr")))
+    rest = rest.select(F.col("node").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
+    return components(links.unionByName(verify(materialise(rest, f"{name}-rest"))))

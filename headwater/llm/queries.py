@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sampling, setjoin, topk, wavelet
+from . import lines, mixing, packing, sampling, setjoin, topk, wavelet
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(table(spark, d, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def op4_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.without_repeats(table(spark, d, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op5_wavelet(spark: SparkSession, d: str) -> DataFrame:
     return wavelet.write_and_read(table(spark, d, "documents"), word_vocabulary())
 
@@ -43,7 +47,7 @@ def op10_sampling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_topk, op5_wavelet, op7_mixing, op8_setjoin, op10_sampling)}
+    return {f.__name__: f for f in (op1_packing, op3_topk, op4_lines, op5_wavelet, op7_mixing, op8_setjoin, op10_sampling)}
 
 
 TOP_K = """

@@ -75,14 +75,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(id0, mark, n_chars) of each distinct row with the keys of the next and the previous one and the latter's length.
+    """(id0, mark, doc_id, copies, n_chars) of each distinct row with the keys of the next and the previous one and the latter's length.
 
     Order is by doc_id, missing ids first, then by hash of the text; the first follows the last.
     Keys are range-sorted; neighbours are found inside each range, and the ends of the ranges,
     one row each, are matched on their own.
     """
     order = [F.col("doc_id").asc_nulls_first(), F.col("mark")]
-    rows = _texts(docs).groupBy("doc_id", *KEY).agg(F.max(F.length("text")).cast("bigint").alias("n_chars"))
+    rows = _texts(docs).groupBy("doc_id", *KEY).agg(F.max(F.length("text")).cast("bigint").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
     rows = materialise(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "neighbours")
     this = F.struct(*KEY, "n_chars")
     line = Window.partitionBy("part").orderBy(*order)
@@ -94,7 +94,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.lag("last_row").over(ring), F.last("last_row").over(whole)).alias("before"))
     rows = rows.join(ends, "part")
     after, before = F.coalesce("next", "after"), F.coalesce("last", "before")
-    return rows.select(*KEY, "n_chars", after["id0"].alias("next_id0"), after["mark"].alias("next_mark"),
+    return rows.select(*KEY, "doc_id", "copies", "n_chars", after["id0"].alias("next_id0"), after["mark"].alias("next_mark"),
                        before["id0"].alias("last_id0"), before["mark"].alias("last_mark"), before["n_chars"].alias("last_chars"))
 
 
@@ -110,8 +110,7 @@ def fingerprints(docs: DataFrame, samples: int = 16) -> DataFrame:
     first. Only doc_id and text are read. No rows yield no rows.
     """
     near = materialise(neighbours(docs), "near")
-    whole = _texts(docs).groupBy(*KEY).agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    whole = whole.join(near, KEY)
+    whole = _texts(docs).groupBy(*KEY).agg(F.first("text").alias("text")).join(near, KEY)
     heads = whole.select(F.col("last_id0").alias("id0"), F.col("last_mark").alias("mark"),
                          F.expr("substring(text, 1, cast(floor(last_chars / 2) as int))").alias("head"))
     pairs = whole.join(heads, KEY).withColumn(

@@ -1,9 +1,9 @@
 """Jaccard join of word n-gram sets by token-combination prefixes.
 
-All sets are read in one global order: rare shingles before frequent ones, each by hash. Two sets
-that link share at least two shingles of their prefixes extended by one. So a shared rare shingle
-finds the pair, or else a shared combination of two frequent ones; candidates are then verified on
-the whole sets.
+All sets are read in one global order: shingles of one document, then rare ones, then frequent
+ones, each by hash. Two sets that link share at least two shingles of their prefixes extended by
+one. So a shared rare shingle finds the pair, or else a shared combination of two frequent ones;
+candidates are then verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import materialise
-from .common import ids_of, text_of
-from .graph import components
+from .common import text_of
+from .graph import linked, shared_posts
 
 #: Bits of the two maps that tell repeated and frequent shingles: 16 MB and 4 MB at any input size.
 REPEATED_BITS, FREQUENT_BITS, MEMBER_BITS = 27, 25, 24
@@ -76,17 +76,6 @@ def _node(s: np.ndarray) -> bytes:
     return blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, node, n_shingles): the node is a 128-bit digest of the set, so equal sets are one node."""
-
-    def describe(batches):
-        for batch in batches:
-            sets = [shingle_set(t, n) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": [_node(s) for s in sets], "n_shingles": [len(s) for s in sets]})
-
-    return _documents(docs).mapInPandas(describe, "doc_id bigint, node binary, n_shingles bigint")
-
-
 def _bits(values: np.ndarray, size: int) -> bytes:
     flags = np.zeros(1 << size, dtype=bool)
     flags[values] = True
@@ -159,17 +148,19 @@ def prefix_keys(s: np.ndarray, repeated: np.ndarray, often: np.ndarray, percent:
     A partner holds at least `percent` % of the set, so all but that share plus two shingles, first in the
     order, must hold two common ones. Sets above `singles_from` shingles, whose pairs would be
     many, are indexed by single frequent shingles; sets that may link to those have both.
-    Shingles found in one document only are left out: they match nothing.
+    Shingles of one document come first and give no keys: they match nothing.
     """
     n = len(s)
     if n < 2:
         return np.zeros(0, dtype=np.uint64)
     least = (percent * n + 99) // 100
     common = _has(often, s, FREQUENT_BITS)
+    more = _has(repeated, s, REPEATED_BITS) & ~common
     prefix = min(n, n - least + 2)
-    rare = s[~common][:prefix]
-    held = s[common][:prefix - len(rare)]
-    keys = [rare[_has(repeated, rare, REPEATED_BITS)]]
+    alone = int(n - common.sum() - more.sum())
+    rare = s[more][:max(0, prefix - alone)]
+    held = s[common][:max(0, prefix - alone - len(rare))]
+    keys = [rare]
     if n <= singles_from:
         i, j = np.triu_indices(len(held), 1)
         keys.append(_mixed(held[i] * _ODD[0] + held[j] * _ODD[1]))
@@ -179,9 +170,8 @@ def prefix_keys(s: np.ndarray, repeated: np.ndarray, often: np.ndarray, percent:
 
 
 def index(docs: DataFrame, n: int, percent: int, maps, singles_from: int) -> DataFrame:
-    """(node, n_shingles, keys) of every distinct set that has keys."""
-    spark = docs.sparkSession
-    maps = spark.sparkContext.broadcast(maps)
+    """(doc_id, node, n_shingles, keys) of every document; its node is a 128-bit digest of its set."""
+    maps = docs.sparkSession.sparkContext.broadcast(maps)
 
     def keys(batches):
         repeated, often = maps.value
@@ -189,17 +179,10 @@ def index(docs: DataFrame, n: int, percent: int, maps, singles_from: int) -> Dat
             rows = []
             for text in batch["text"]:
                 s = shingle_set(text, n)
-                found = prefix_keys(s, repeated, often, percent, singles_from)
-                if len(found):
-                    rows.append((_node(s), len(s), found.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "n_shingles", "keys"])
-
-    rows = _documents(docs).select("text").mapInPandas(keys, "node binary, n_shingles bigint, keys array<bigint>")
-    return rows.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+                rows.append((_node(s), len(s), prefix_keys(s, repeated, often, percent, singles_from).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["node", "n_shingles", "keys"]).assign(doc_id=batch["doc_id"].astype("Int64"))
 
-
-def _near_size(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return _documents(docs).mapInPandas(keys, "doc_id bigint, node binary, n_shingles bigint, keys array<bigint>")
 
 
 def sets_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -237,38 +220,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 64) -
 def classes(docs: DataFrame, n: int = 4, percent: int = 85, frequent: int = 64, singles_from: int = 512) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest doc_id it reaches by links.
 
-    Links are sets of distinct n-word shingles with 100 * intersection >= percent * union. Equal sets are one node. The nodes of an index key
-    are first compared with one of them; what links becomes one component. Then all pairs of a key that lie in
-    different components yet are compared. So no link between components is missed, and a group of
-    copies costs one comparison each instead of all pairs. Frequent means in more than `frequent` documents.
+    Links are sets of distinct n-word shingles with 100 * intersection >= percent * union. Equal sets are one node; nodes that share
+    an index key are compared by `graph.linked`. Frequent means in more than `frequent` documents.
 
     Texts are read whole. A text of fewer than n words is one shingle; missing text and text without words are empty,
     link with nothing and keep their own doc_id. A missing doc_id never names a component; a document
     that reaches no id has none. Repeated rows and ids each give a row. Only doc_id and text are
     read. No rows yield no rows. Shingles are compared by 64-bit hash.
     """
-    rows = materialise(described(docs, n), "sets")
-    nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    keyed = materialise(index(docs, n, percent, frequency_maps(docs, n, frequent), singles_from), "set-index")
-    keys = keyed.select("node", "n_shingles", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("one"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    posts = materialise(keys.join(shared.select("key", "one"), "key"), "set-posts")
+    rows = materialise(index(docs, n, percent, frequency_maps(docs, n, frequent), singles_from), "sets")
+    nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    keyed = rows.filter(F.size("keys") > 0).groupBy("node").agg(F.first("n_shingles").alias("attr"), F.first("keys").alias("keys"))
+    posts = shared_posts(keyed.select("node", "attr", F.explode("keys").alias("key")), "set")
     sets = materialise(sets_of(docs, n, nodes.join(posts.select("node").distinct(), "node")), "set-members")
-
-    near = _near_size("n_shingles", "one.n_shingles", percent)
-    star = posts.filter((F.col("node") != F.col("one.node")) & near).select(F.col("one.node").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialise(star, "set-star")
-    links = materialise(verified(tried, sets, percent), "set-links")
-    found = components(links)
-
-    own = posts.select("key", "node", "n_shingles").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = materialise(own, "set-own")
-    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    own = own.join(mixed, "key", "left_semi")
-    other = own.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-    rest = own.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("c_b")) & _near_size("n_shingles", "n_b", percent))
-    rest = rest.select(F.col("node").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-    found = components(links.unionByName(verified(materialise(rest, "set-rest"), sets, percent)))
+    found = linked(posts, lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b), lambda pairs: verified(pairs, sets, percent), "set")
 
     nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
