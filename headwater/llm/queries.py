@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, sampling, setjoin, topk, wavelet
+from . import lines, mixing, packing, private, quality, sampling, setjoin, topk, wavelet
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), word_vocabulary())
 
 
+def op2_private(spark: SparkSession, d: str) -> DataFrame:
+    return private.spans(table(spark, d, "documents"))
+
+
 def op3_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(table(spark, d, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
@@ -34,6 +38,10 @@ def op5_wavelet(spark: SparkSession, d: str) -> DataFrame:
     return wavelet.write_and_read(table(spark, d, "documents"), word_vocabulary())
 
 
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op7_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.taken(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,7 +55,8 @@ def op10_sampling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_topk, op4_lines, op5_wavelet, op7_mixing, op8_setjoin, op10_sampling)}
+    return {f.__name__: f for f in (
+        op1_packing, op2_private, op3_topk, op4_lines, op5_wavelet, op6_quality, op7_mixing, op8_setjoin, op10_sampling)}
 
 
 TOP_K = """
