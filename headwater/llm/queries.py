@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, private, quality, sampling, setjoin, topk, wavelet
+from . import lines, mixing, packing, private, quality, sampling, scoring, setjoin, topk, wavelet
 from .common import table
 
 
@@ -50,13 +50,17 @@ def op8_setjoin(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.classes(table(spark, d, "documents"))
 
 
+def op9_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.scores(table(spark, d, "documents"), word_vocabulary())
+
+
 def op10_sampling(spark: SparkSession, d: str) -> DataFrame:
     return sampling.fingerprints(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_packing, op2_private, op3_topk, op4_lines, op5_wavelet, op6_quality, op7_mixing, op8_setjoin, op10_sampling)}
+        op1_packing, op2_private, op3_topk, op4_lines, op5_wavelet, op6_quality, op7_mixing, op8_setjoin, op9_scoring, op10_sampling)}
 
 
 TOP_K = """
