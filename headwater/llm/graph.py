@@ -19,25 +19,29 @@ def _sum(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
 
 
+def _round(pairs: DataFrame) -> DataFrame:
+    """One large-star and one small-star step."""
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("of"), F.least("u", "w").alias("w"))
+    large = both.filter("v > u").join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("w").alias("v"))
+    large = _down(large)
+    floor = large.groupBy("u").agg(F.min("v").alias("w"))
+    small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(floor.select("u", F.col("w").alias("v")))
+    return _down(small)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every linked node; a component is named by its smallest node.
 
     Alternating large-star and small-star steps: every node hands its larger, then its smaller
     neighbours to the smallest node it knows, until nothing moves; a logarithmic number of rounds
-    in practice. Minima are pre-aggregated and every round is written to the shared folder, so a
-    node with very many links is no single group and a lost executor costs one round.
+    in practice. Minima are pre-aggregated and every second round is written to the shared folder,
+    so a node with very many links is no single group and a lost executor costs two rounds.
     """
     pairs = materialise(_down(links.select(F.col(a).alias("u"), F.col(b).alias("v"))), "links")
     state = _sum(pairs)
     while state[0]:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("of"), F.least("u", "w").alias("w"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("w").alias("v"))
-        large = _down(large)
-        floor = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(
-            floor.select("u", F.col("w").alias("v")))
-        pairs = materialise(_down(small), "links")
+        pairs = materialise(_round(_round(pairs)), "links")
         if (now := _sum(pairs)) == state:
             break
         state = now

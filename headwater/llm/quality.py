@@ -66,7 +66,9 @@ def fit(rows: list, labels: np.ndarray, epochs: int = 12, rate: float = 0.1, pen
     rng = np.random.default_rng(0)
     bias, w, v = 0.0, np.zeros(WIDTH), rng.normal(0, 0.02, (WIDTH, RANK))
     gw, gv, gb = np.full(WIDTH, 1e-3), np.full((WIDTH, RANK), 1e-3), 1e-3
-    for _ in range(epochs if len(rows) else 0):
+    if not rows:
+        return bias, w, np.zeros_like(v)
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             part = order[at:at + 64]
