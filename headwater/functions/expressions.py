@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The transformation classes and the function names that decide them.
+# The transformation classes and the names of aggregates.
 TRANSFORMATIONS = ["direct_copy", "aggregation", "calculation", "conditional", "constant"]
 AGGREGATES = ["SUM", "COUNT", "AVG", "MAX", "MIN", "STDEV", "STRING_AGG"]
-CALCULATIONS = [
-    "CONCAT", "DATEDIFF", "DATEADD", "CAST", "CONVERT", "COALESCE", "ISNULL", "FLOOR",
-    "CEILING", "ROUND", "LEFT", "RIGHT", "SUBSTRING", "REPLACE", "UPPER", "LOWER",
-]
 CLOCK_CALLS = ["GETDATE()", "CURRENT_TIMESTAMP", "SYSDATETIME()"]
 
 _QUOTED = r"(?s)'(?:[^']++|'')*+'|\"[^\"]*+\"|\[[^\]]*+\]"
@@ -43,8 +39,6 @@ def classify(c: Column) -> Column:
         .when(F.trim(bare).rlike(rf"^(?:{_NAME}|\*)$"), "direct_copy")
         .when(plain.rlike(r"(?is)\bCASE\b.*\bWHEN\b"), "conditional")
         .when(called(AGGREGATES), "aggregation")
-        .when(_outside_quotes(bare).rlike(r"[-+*/]"), "calculation")
-        .when(called(CALCULATIONS), "calculation")
         .otherwise("calculation")
     )
 

@@ -10,18 +10,17 @@ from ..sources.schemas import ANSWER
 from .tokens import running
 
 _PIECE = r'"(?:[^"\\]++|(?s:\\.))*+"|[{}]|[^"{}]++|"'
-_FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
 
 
 def json_objects(responses: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, json): the first balanced block of each answer that is valid JSON.
+    """(keys, json): the first balanced block of each answer that is valid JSON.
 
-    Braces inside strings do not count. Braces are matched by level with a window over the
-    pieces of one answer.
+    Where an answer has a fence line that opens a block, the answer is read from the line after it;
+    fences of any language tag are known, and marks inside a JSON string open nothing. Braces inside
+    strings do not count. Braces are matched by level with a window over the pieces of one answer.
     """
-    text = F.trim(F.col("response"))
-    fenced = F.regexp_extract(text, _FENCE, 1)
-    body = F.when(text.rlike(_FENCE), F.trim(fenced)).otherwise(text)
+    parts = F.split(F.trim(F.col("response")), r"(?m)^[ \t]*```[^\n`]*$", 2)
+    body = F.when((F.size(parts) > 1) & ~F.contains(parts[0], F.lit("{")), parts[1]).otherwise(F.trim(F.col("response")))
     rows = responses.select(*keys, body.alias("body")).withColumn(
         "body", F.expr("substring(body, instr(body, '{'))")).filter(F.col("body").startswith("{"))
     pieces = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).select(
@@ -57,7 +56,10 @@ def _without_brackets(rows: DataFrame) -> DataFrame:
 def parse_responses(responses: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per answer: record fields (null when there is no valid object) and `is_valid`."""
     keys = keys or ["source_file", "method"]
-    found = json_objects(responses, keys).withColumn("r", F.from_json("json", ANSWER))
-    found = _without_brackets(found.select(*keys, "r.*"))
-    return responses.select(*keys).hint("merge").join(found, keys, "left").withColumn(
+    # Answers that share their keys are told apart by their text.
+    rows = responses.select(*keys, "response", F.xxhash64("response").alias("_text"))
+    own = [*keys, "_text"]
+    found = json_objects(rows.dropDuplicates(own), own).withColumn("r", F.from_json("json", ANSWER))
+    found = _without_brackets(found.select(*own, "r.*"))
+    return rows.select(*own).hint("merge").join(found, own, "left").drop("_text").withColumn(
         "is_valid", F.coalesce(F.col("target_table") != "", F.lit(False)))

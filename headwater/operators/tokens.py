@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _COMMENT = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"
-for _ in range(3):  # block comments nest
+for _ in range(15):  # block comments nest, up to 16 levels
     _COMMENT = rf"/\*(?:[^*/]++|\*(?!/)|{_COMMENT}|/(?!\*))*+\*/"
 
 TOKEN_RX = "|".join([

@@ -21,13 +21,13 @@ def stream_scripts(spark: SparkSession, root: str, files_per_batch: int = 10_000
     return _shaped(files, F.col("path"), F.col("modificationTime"), F.col("length"), F.col("content"))
 
 
-def ingest(scripts: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Extract each batch and write it under its batch number.
+def ingest(scripts: DataFrame, out: str, checkpoint: str, available_now: bool = True, primary_only: bool = True) -> StreamingQuery:
+    """Extract each batch and write it under its batch number; `primary_only=False` keeps every statement.
 
     A batch repeated after a failure overwrites its own folder, so every file counts once.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        extract_lineage(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        extract_lineage(batch, primary_only=primary_only).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = scripts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:

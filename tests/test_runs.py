@@ -165,3 +165,19 @@ def test_stream_picks_up_new_files_only(spark, tmp):
     ingest.ingest(ingest.stream_scripts(spark, root), out, state).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert sorted((r.source_file, r.target_table, r.batch) for r in rows) == [("a.sql", "T", 0), ("b.sql", "U", 1)]
+
+
+def test_answers_with_the_same_keys_stay_apart(spark):
+    from headwater.operators import responses
+
+    rows = [("x.sql", "m", '{"target_table": "T1", "procedure_name": "```"}'), ("x.sql", "m", 'so:\n```JSON5\n{"target_table": "T2"}\n```'), ("x.sql", "m", "no json here")]
+    got = responses.parse_responses(spark.createDataFrame(rows, "source_file string, method string, response string")).collect()
+    assert sorted((r.is_valid, r.target_table or "") for r in got) == [(False, ""), (True, "T1"), (True, "T2")]
+
+
+def test_deeply_nested_comment(spark):
+    from headwater.operators import records
+
+    text = "/* a /* b /* c /* d /* e INSERT INTO FAKE SELECT x FROM FAKE2 */ */ */ */ */ INSERT INTO T SELECT s.a FROM S s"
+    rows = records.extract_lineage(spark.createDataFrame([("m:/x.sql", "x.sql", text)], "path string, source_file string, txt string")).collect()
+    assert [r.target_table for r in rows] == ["T"]
