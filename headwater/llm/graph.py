@@ -15,8 +15,12 @@ def _down(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
 
-def _sum(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none: each component is a star then."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("over"), F.lit(0).alias("under")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.lit(0).alias("over"), F.lit(1).alias("under")))
+    ends = ends.groupBy("node").agg(F.sum("over").alias("over"), F.sum("under").alias("under"))
+    return ends.filter((F.col("over") > 1) | ((F.col("over") > 0) & (F.col("under") > 0))).isEmpty()
 
 
 def _round(pairs: DataFrame) -> DataFrame:
@@ -34,17 +38,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every linked node; a component is named by its smallest node.
 
     Alternating large-star and small-star steps: every node hands its larger, then its smaller
-    neighbours to the smallest node it knows, until nothing moves; a logarithmic number of rounds
-    in practice. Minima are pre-aggregated and every second round is written to the shared folder,
+    neighbours to the smallest node it knows, until all components are stars; a logarithmic number of
+    rounds in practice. Minima are pre-aggregated and every second round is written to the shared folder,
     so a node with very many links is no single group and a lost executor costs two rounds.
     """
     pairs = materialise(_down(links.select(F.col(a).alias("u"), F.col(b).alias("v"))), "links")
-    state = _sum(pairs)
-    while state[0]:
+    while not _settled(pairs):
         pairs = materialise(_round(_round(pairs)), "links")
-        if (now := _sum(pairs)) == state:
-            break
-        state = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
