@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from headwater.llm import common, graph, lines, private, quality, queries, sampling, scoring, setjoin
 
@@ -272,3 +273,18 @@ def test_gradient():
         down[name][at] -= 1e-5
         slope = (loss(up) - loss(down)) / 2e-5
         assert abs(abs(slope) - math.sqrt(past[name][at])) < 1e-4
+
+
+def test_bands_decide_as_the_whole_distance(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(120):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.choice([0, 1, 30, 300])))
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 9, 40, 150])):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("xyz"))
+        rows.append((a, "".join(b), rng.choice([0, 1, 8, 20, 33, 140, 200])))
+    pairs = spark.createDataFrame(rows, "norm_a string, norm_b string, most int")
+    got = pairs.select("norm_a", "norm_b", "most", lines._within(F.col("most")).alias("near")).collect()
+    assert {r.near for r in got} == {True, False}
+    assert all(r.near == (distance(r.norm_a, r.norm_b) <= r.most) for r in got)
