@@ -3,22 +3,24 @@
 All sets are read in one global order: shingles of one document, then rare ones, then frequent
 ones, each by hash. Two sets that link share at least two shingles of their prefixes extended by
 one. So a shared rare shingle finds the pair, or else a shared combination of two frequent ones;
-candidates are then verified on the whole sets.
+candidates are then verified on the whole sets. The sets of one key are first held against one of them, the
+centre; what is left is compared by the differences from the centre, see `links`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import materialise
 from .common import text_of
-from .graph import linked, shared_posts
+from .graph import components, if_small
 
 #: Bits of the two maps that tell repeated and frequent shingles: 16 MB and 4 MB at any input size.
 REPEATED_BITS, FREQUENT_BITS, MEMBER_BITS = 27, 25, 24
@@ -76,6 +78,11 @@ def _node(s: np.ndarray) -> bytes:
     return blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _objects(values) -> pd.Series:
+    """A column of bytes or arrays, of object type even where it has no rows."""
+    return pd.Series(list(values), dtype=object)
+
+
 def _bits(values: np.ndarray, size: int) -> bytes:
     flags = np.zeros(1 << size, dtype=bool)
     flags[values] = True
@@ -151,7 +158,7 @@ def prefix_keys(s: np.ndarray, repeated: np.ndarray, often: np.ndarray, percent:
     Shingles of one document come first and give no keys: they match nothing.
     """
     n = len(s)
-    if n < 2:
+    if n < 2 or n * (100 - percent) < percent:  # so small a set links with no other set
         return np.zeros(0, dtype=np.uint64)
     least = (percent * n + 99) // 100
     common = _has(often, s, FREQUENT_BITS)
@@ -180,7 +187,8 @@ def index(docs: DataFrame, n: int, percent: int, maps, singles_from: int) -> Dat
             for text in batch["text"]:
                 s = shingle_set(text, n)
                 rows.append((_node(s), len(s), prefix_keys(s, repeated, often, percent, singles_from).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "n_shingles", "keys"]).assign(doc_id=batch["doc_id"].astype("Int64"))
+            node, size, keys = zip(*rows) if rows else ((), (), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": _objects(node), "n_shingles": np.array(size, np.int64), "keys": _objects(keys)})
 
     return _documents(docs).mapInPandas(keys, "doc_id bigint, node binary, n_shingles bigint, keys array<bigint>")
 
@@ -202,26 +210,84 @@ def sets_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             at = batch["at"].to_numpy(np.int64)
             found = batch["text"][(bits.value[at >> 5] >> (at & 31) & 1).astype(bool)]
             sets = [shingle_set(t, n) for t in found]
-            yield pd.DataFrame({"node": [_node(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({"node": _objects([_node(s) for s in sets]), "s": _objects([s.view(np.int64) for s in sets])})
 
     rows = _documents(docs).select("text", at.alias("at")).mapInPandas(gather, "node binary, s array<bigint>")
     return rows.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 64) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Pairs of one `a` are spread over `salts` tasks."""
+def compared(pairs: DataFrame, sets: DataFrame, salts: int = 64) -> DataFrame:
+    """(a, b, n_a, n_b, apart, diff) of pairs (a, b): set sizes and the shingles that only one of the two has.
+
+    `apart` counts those shingles; `diff` lists them where they are at most a third of both sets
+    together. Pairs of one `a` are spread over `salts` tasks.
+    """
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"))
     left = pairs.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a")
     full = pairs.join(left, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return full.filter(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+    full = full.select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"),
+                       F.array_except("s_a", "s_b").alias("only_a"), F.array_except("s_b", "s_a").alias("only_b"))
+    apart = F.size("only_a") + F.size("only_b")
+    return full.select("a", "b", "n_a", "n_b", apart.alias("apart"), F.when(
+        3 * apart <= F.col("n_a") + F.col("n_b"), F.concat("only_a", "only_b")).alias("diff"))
+
+
+def _link(apart: Column, both: Column, percent: int) -> Column:
+    """Whether sets of `both` shingles together, `apart` of them not shared, link."""
+    return (100 + percent) * apart <= (100 - percent) * both
+
+
+def links(keyed: DataFrame, members: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) of the nodes of `keyed` (node, n, keys) that connect all that share a key and link.
+
+    `members` gives the sets (node, s) of a table of nodes.
+    The centre of a key is its node with most keys: in a group of copies the one with the fewest
+    shingles of its own. Every node is compared with the centres of its keys, and what links becomes a component.
+    Two nodes of a key in different components do not both link with the centre, and then they link
+    only if some shingle tells both from the centre: without one they are as far apart
+    as both are from the centre together, which is too far. So nodes close to a centre meet by such shingles, and the number
+    of those they share tells how far apart they are; copies that differ in other places never meet.
+    Nodes far from the centre meet by the key, where sizes and distances from the centre leave it open.
+    """
+    rows = keyed.select("node", "n", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
+    ends = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.max(F.struct("n_keys", "node", "n")).alias("c")).filter("many > 1")
+    ends = materialise(ends.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "set-keys")
+    posts = materialise(rows.drop("n_keys").join(if_small(ends), "key").filter("node <> centre"), "set-posts")
+    sets = members(posts.select("node").unionByName(ends.select(F.col("centre").alias("node"))).distinct())
+    sized = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+    tried = posts.filter(sized(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = materialise(compared(materialise(tried, "set-star"), sets), "set-compared")
+    first = star.filter(_link(F.col("apart"), F.col("n_a") + F.col("n_b"), percent)).select("a", "b")
+    found = components(first)
+    own = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = own.join(star.select(F.col("a").alias("centre"), F.col("b").alias("node"), "apart", F.col("diff").isNotNull().alias("close")), ["centre", "node"], "left")
+    own = materialise(own.withColumn("close", F.coalesce("close", F.lit(False))), "set-own")
+    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    own = own.join(mixed, "key", "left_semi")
+    other = lambda df, *also: df.select(*also, *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "component", "apart", "close")])
+
+    marks = own.filter("close").select("centre", "node", "n", "component", "apart", "close").distinct().join(
+        star.select(F.col("a").alias("centre"), F.col("b").alias("node"), "diff"), ["centre", "node"])
+    marks = materialise(marks.withColumn("shingle", F.explode("diff")).drop("diff"), "set-marks")
+    met = marks.join(other(marks, "centre", "shingle"), ["centre", "shingle"]).filter("node < node_2 and component <> component_2")
+    met = met.groupBy("centre", "node", "node_2").agg(
+        F.first(F.col("apart") + F.col("apart_2")).alias("most"), F.first(F.col("n") + F.col("n_2")).alias("both"), F.count(F.lit(1)).alias("shared"))
+    met = met.filter(_link(F.col("most") - 2 * F.col("shared"), F.col("both"), percent)).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+
+    far = own.filter("not close").join(other(own, "key"), "key").filter(
+        (F.col("component") != F.col("component_2")) & (F.col("close_2") | (F.col("node") < F.col("node_2"))) & sized(F.col("n"), F.col("n_2"))
+        & F.coalesce(_link(F.abs(F.col("apart") - F.col("apart_2")), F.col("n") + F.col("n_2"), percent), F.lit(True)))
+    far = far.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+    far = compared(materialise(far, "set-far"), sets).filter(_link(F.col("apart"), F.col("n_a") + F.col("n_b"), percent)).select("a", "b")
+    return first.unionByName(met).unionByName(far)
 
 
 def classes(docs: DataFrame, n: int = 4, percent: int = 85, frequent: int = 64, singles_from: int = 512) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest doc_id it reaches by links.
 
     Links are sets of distinct n-word shingles with 100 * intersection >= percent * union. Equal sets are one node; nodes that share
-    an index key are compared by `graph.linked`. Frequent means in more than `frequent` documents.
+    an index key are compared by `links`. Frequent means in more than `frequent` documents.
 
     Texts are read whole. A text of fewer than n words is one shingle; missing text and text without words are empty,
     link with nothing and keep their own doc_id. A missing doc_id never names a component; a document
@@ -230,10 +296,9 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, frequent: int = 64,
     """
     rows = materialise(index(docs, n, percent, frequency_maps(docs, n, frequent), singles_from), "sets")
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    keyed = rows.filter(F.size("keys") > 0).groupBy("node").agg(F.first("n_shingles").alias("attr"), F.first("keys").alias("keys"))
-    posts = shared_posts(keyed.select("node", "attr", F.explode("keys").alias("key")), "set")
-    sets = materialise(sets_of(docs, n, nodes.join(posts.select("node").distinct(), "node")), "set-members")
-    found = linked(posts, lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b), lambda pairs: verified(pairs, sets, percent), "set")
+    keyed = materialise(rows.filter(F.size("keys") > 0).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "set-keyed")
+    members = lambda wanted: materialise(sets_of(docs, n, nodes.join(wanted, "node")), "set-members")
+    found = components(links(keyed, members, percent))
 
     nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -80,6 +80,25 @@ def test_set_join(spark, documents, awkward, nothing):
     assert kept.columns == awkward.columns and 0 < kept.count() < 120
 
 
+def test_set_join_of_copies_with_many_edits(documents):
+    """Copies of one text with edits in other places: linked with the text, with one another, or with none."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        words = list(base) if i % 4 else [f"u{i}_{k}" for k in range(10)] + base[:60]
+        for _ in range(i % 6):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(6)}"
+        rows.append((i, " ".join(words[:rng.choice((90, 88, 80))]), "a"))
+    shingles = {i: {tuple(t.split()[j:j + 4]) for j in range(len(t.split()) - 3)} for i, t, _ in rows}
+    near = [(a, b) for a in shingles for b in shingles if a < b and 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b])]
+    want = {i: (len(shingles[i]), c) for i, c in components_of(shingles, near).items()}
+    assert 3 < len({c for _, c in want.values()}) < 140
+    for frequent in (1, 4, 64):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.classes(documents(rows), frequent=frequent).collect()}
+        assert got == want
+
+
 def plain_norm(line):
     plain = re.sub(r"[^\w]+|_+", " ", line.lower()).strip()
     return plain or line.strip()
