@@ -56,8 +56,9 @@ def _clause_start() -> Column:
     before_paren = F.col("lead_in_before")
     paren = (
         F.when(b1 == "VALUES", "VALS")
-        .when((b1 == "INSERT") | ((before_paren["b1"] == "INTO") & (before_paren["b2"] == "INSERT")
-                                  & (F.col("level") == 1)), "INSCOLS")
+        .when((b1 == "INSERT") | ((F.col("level") == 1) & (
+            ((before_paren["b1"] == "INTO") & (before_paren["b2"].isin("INSERT", ")") | before_paren["b3"].isin("TOP")))
+            | ((before_paren["b1"] == "INSERT") & ~b1.isin("TOP", "INTO")))), "INSCOLS")
         .otherwise("OPEN")
     )
     word = (
@@ -133,7 +134,8 @@ def _defines() -> Column:
         | ((intro == "(") & intro2.isin("FROM", "JOIN", "USING"))
     )
     target = (F.col("level") == 0) & (
-        (intro == "INTO") | ((intro == "MERGE") & (u != "INTO")) | ((intro == "UPDATE") & (F.col("kind") == "UPDATE")))
+        (intro == "INTO") | ((intro == "MERGE") & (u != "INTO")) | ((intro == "UPDATE") & (F.col("kind") == "UPDATE"))
+        | ((intro == "INSERT") & (F.col("kind") == "INSERT")))
     named = F.col("ident") & ~F.col("reserved") & (F.col("a1") != ".")
     name_before = op["b1"].rlike(r'^[\p{L}_\["]') & ~op["b1"].isin(*RESERVED)
     return F.when(own & named & source, "T").when(own & named & target, "T").when(
@@ -156,7 +158,7 @@ def _definition() -> Column:
         .when((what == "D") & (op["b1"] == "JOIN"), op["bpos"])
         .when((what == "F") & (op["intro"] == "JOIN"), op["intro_pos"])
         .when(what == "N", F.col("jn.pos")))
-    use = F.when(what == "T", F.when(intro.isin("INTO", "MERGE", "UPDATE"), "target").otherwise("source"))
+    use = F.when(what == "T", F.when(intro.isin("INTO", "MERGE", "UPDATE", "INSERT"), "target").otherwise("source"))
     return F.when(what.isNotNull(), F.struct(
         what.alias("what"), F.col("pos").alias("pos"), F.when(name.isNotNull(), table_key(name)).alias("table"),
         F.when(named, F.lower(unquote(word))).alias("alias"),

@@ -162,7 +162,6 @@ def resolved_items(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
         *[c for c in scope.columns if c != "items"], F.explode_outer("items").alias("item")
     )
     rows = rows.select("*", "item.*").drop("item")
-    rows = rows.filter(F.col("fact").isNull() | (F.col("fact") != X.SELECT) | (F.col("at") == F.col("first_select")))
     rows = _split_items(rows)
     rows = rows.withColumns({
         "raw_text": _text(F.col("expr")),
@@ -205,7 +204,7 @@ def statement_facts(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     keep = lambda letters, value: F.array_sort(F.collect_list(F.when(f.isin(*letters), value)))
     rows = rows.groupBy(*KEY, "kind", "target_table", "left_table").agg(
         F.first("source_tables").alias("source_tables"), F.first("aliases").alias("aliases"),
-        F.first("join_defs").alias("join_defs"),
+        F.first("join_defs").alias("join_defs"), F.first("first_select").alias("first_select"),
         F.array_sort(F.collect_list(F.when(usable, F.struct("at", "item_no", F.col("item_mappings").alias("m"))))).alias("mapped"),
         keep([X.ON], F.struct("at", "text")).alias("conditions"),
         keep([X.WHERE, X.HAVING], F.struct(
@@ -216,9 +215,18 @@ def statement_facts(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     condition = lambda n: F.coalesce(F.try_element_at(
         F.filter("conditions", lambda c: c["at"] == n["at"]), F.lit(1))["text"], F.lit(""))
     text = lambda c: F.filter(c, lambda x: x["text"] != "")
+    # The first branch of a set operation names the columns of all branches.
+    names = F.transform(
+        F.filter("mapped", lambda x: x["at"] == F.col("first_select")),
+        lambda x: F.struct(x["item_no"].alias("item_no"), F.try_element_at(x["m"], F.lit(1))["target_column"].alias("name")))
+    rows = rows.withColumn("names", names)
+    name_of = lambda x: F.try_element_at(F.filter("names", lambda y: y["item_no"] == x["item_no"]), F.lit(1))["name"]
+    branch = lambda x: F.when(x["at"] <= F.col("first_select"), x["m"]).otherwise(F.transform(
+        x["m"], lambda m: m.withField("target_column", F.coalesce(name_of(x), m["target_column"]))))
+    later = F.exists("mapped", lambda x: x["at"] > F.col("first_select"))
     return rows.select(
         *KEY, "kind", "target_table", "source_tables", "aliases",
-        F.flatten(F.transform("mapped", lambda x: x["m"])).cast(f"ARRAY<{MAPPING}>").alias("column_mappings"),
+        F.flatten(F.when(later, F.transform("mapped", branch)).otherwise(F.transform("mapped", lambda x: x["m"]))).cast(f"ARRAY<{MAPPING}>").alias("column_mappings"),
         F.transform("join_defs", lambda n: F.struct(
             F.coalesce("left_table", F.lit("")).alias("left_table"), F.coalesce("left_table", F.lit("")).alias("left_table_qualified"),
             n["right_table"].alias("right_table"), n["right_table"].alias("right_table_qualified"),

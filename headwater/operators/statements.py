@@ -30,7 +30,9 @@ def _event(u: Column, b1: Column, a1: Column, a2: Column, a3: Column) -> Column:
     return (
         F.when((u == ";") | F.col("is_go"), "END")
         .when((u == "BEGIN"), "BLOCK")
-        .when((u == "INSERT") & (a1u == "INTO"), "INSERT")
+        .when(
+            (u == "INSERT") & word & ~a1u.isin("ON", "AS", "TO")
+            & ~b1.isin("THEN", "FOR", "ON", "AFTER", "OF", ",", ".", "BULK", "GRANT", "DENY", "REVOKE"), "INSERT")
         .when(
             (u == "UPDATE") & ~b1.isin("THEN", "FOR", "ON", "AFTER", ",")
             & (a1 != "(") & (a1u != "STATISTICS"), "UPDATE")

@@ -44,6 +44,11 @@ CASES = {
     "having": """INSERT INTO t SELECT s.g, COUNT(*) AS n FROM src s WHERE s.id IN (SELECT w.id FROM ww w WHERE w.k = 1 AND w.l = 2)
         AND s.brand = 1 OR (s.a = 1 AND s.b = 2) GROUP BY s.g HAVING COUNT(*) > 1 AND MIN(s.x) BETWEEN 1 AND 9 ORDER BY s.g""",
     "prefixes": "INSERT INTO t SELECT s.EndDate FROM src s WHERE s.EndDate > 1 AND s.LeftQty = 2 UNION SELECT u.a FROM more u WHERE u.z = 3",
+    "no_into": "SELECT 1; INSERT dbo.Tgt (k, v) SELECT s.a, s.b FROM src s",
+    "top_into": "INSERT TOP (5) INTO tgt SELECT s.a FROM src s",
+    "trigger": "CREATE TRIGGER tr ON dbo.t AFTER INSERT, UPDATE AS BEGIN INSERT log_rows SELECT i.a FROM changes i END",
+    "union": """INSERT INTO t (p, q) SELECT s.a, s.b AS bb FROM src s UNION ALL SELECT m.c, 1 FROM more m
+        UNION SELECT m.c + x.y, x.b FROM more m JOIN extra x ON x.id = m.id""",
     "case_where": "INSERT INTO t SELECT s.a FROM src s WHERE CASE WHEN s.a = 1 AND s.b = 2 THEN 1 ELSE 0 END = 1 AND s.c = 3",
     "if_else": "IF EXISTS (SELECT 1 FROM ctl c) BEGIN INSERT INTO t SELECT s.a, s.bb FROM src s END ELSE BEGIN DELETE FROM t END",
     "go": "SELECT 1\nGO\nCREATE PROCEDURE p AS\nINSERT INTO t SELECT s.a FROM src s\nGO\nGRANT EXECUTE ON p TO u",
@@ -178,6 +183,22 @@ def test_filters(found, spark):
         ("WHERE", None), ("WHERE", "AND"), ("WHERE", "OR"), ("HAVING", None), ("HAVING", "AND")]
 
 
+def test_insert_without_into(found):
+    r = found["no_into"]
+    assert r["target_table"] == "TGT" and r["source_tables"] == ["SRC"] and r["failure"] is None
+    assert [(m["target_column"], m["insert_column"]) for m in r["column_mappings"]] == [("A", "K"), ("B", "V")]
+    assert found["top_into"]["target_table"] == "TGT" and maps(found["top_into"]) == [("A", "SRC", "A", "direct_copy")]
+    assert found["trigger"]["target_table"] == "LOG_ROWS" and found["trigger"]["source_tables"] == ["CHANGES"]
+
+
+def test_every_branch_of_a_set_operation(found):
+    r = found["union"]
+    assert r["source_tables"] == ["EXTRA", "MORE", "SRC"]
+    assert maps(r) == [("A", "SRC", "A", "direct_copy"), ("BB", "SRC", "B", "direct_copy"), ("A", "MORE", "C", "direct_copy"),
+                       ("BB", "", "1", "constant"), ("A", "EXTRA", "Y", "calculation"), ("BB", "EXTRA", "B", "direct_copy")]
+    assert [m["insert_column"] for m in r["column_mappings"]] == ["P", "Q", "P", "Q", "P", "Q"]
+
+
 def test_failures(found):
     assert found["empty_proc"]["failure"] == "no_primary"
     assert found["no_source"]["failure"] == "no_source"

@@ -143,6 +143,18 @@ def test_traces(spark):
     assert "(constant)" not in {r.table_name for r in C.trace_tables(chains).collect()}
 
 
+def test_traces_know_the_tables_of_the_graph(spark):
+    ce = spark.createDataFrame([("M", "x", "T", "y", "direct_copy"), ("NOPE", "z", "T", "w", "direct_copy")],
+                               "src_table STRING, src_col STRING, dst_table STRING, dst_col STRING, type STRING")
+    tables = spark.createDataFrame([("M",), ("T",), ("R",)], "id STRING")
+    seeds = spark.createDataFrame([("T", "y"), ("T", "w"), ("elsewhere", "z")], "table STRING, column STRING")
+    raw = spark.createDataFrame([("R",)], "id STRING")
+    got = {r.chain: r.steps[-1].note for r in C.trace_inbound(ce, seeds, raw, tables=tables).collect()}
+    assert got == {"T.y|M.x": "no incoming mappings", "T.w|NOPE.z": "raw origin"}
+    out = C.trace_outbound(ce, seeds.union(spark.createDataFrame([("m", "x")], seeds.schema)), tables=tables)
+    assert {r.chain for r in out.collect()} == {"T.y", "T.w", "M.x|T.y"}
+
+
 def test_depth_limit(spark):
     ce = spark.createDataFrame([(f"T{i}", "c", f"T{i + 1}", "c", "direct_copy") for i in range(30)],
                                "src_table STRING, src_col STRING, dst_table STRING, dst_col STRING, type STRING")
