@@ -128,6 +128,12 @@ def test_lines(spark, documents, awkward, nothing):
     assert lines.without_repeats(awkward).count() == len(AWKWARD)
 
 
+def test_short_and_unspaced_lines(spark, documents):
+    rows = [(1, "Share this article\n\n\t\n一行没有空格的文字但是很长\nfirst", "a"), (2, "SHARE this article!\n\n\t\nsecond\n一行没有空格的文字但是很长", "a"), (3, "x\r\n\r\nX\n\u2003", "a")]
+    got = {r.doc_id: r.text for r in lines.without_repeats(documents(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "\n\t\nsecond", 3: "x\r\n\r\n\u2003"}
+
+
 def test_lines_links_against_all_pairs(spark, documents):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(500)}" for _ in range(rng.choice([6, 40, 200]))] for _ in range(25)]
