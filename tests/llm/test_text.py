@@ -300,6 +300,33 @@ def test_gradient():
         assert abs(abs(slope) - math.sqrt(past[name][at])) < 1e-4
 
 
+def test_anchors_find_near_lines_of_all_lengths(spark, documents):
+    """Against edit similarity alone, on lines of 6 to 40 words with one to many words replaced."""
+    rng = random.Random(11)
+    words = [f"{rng.choice('bcdfgh')}{rng.randrange(10 ** rng.choice([1, 2, 4]))}{'a' * rng.randrange(6)}" for _ in range(700)]
+    rows = []
+    for n in (6, 8, 12, 20, 30, 40) * 12:
+        line = [words[int(700 * rng.random() ** 2)] for _ in range(n)]
+        rows.append((len(rows), " ".join(line), "a"))
+        for share in (0, 0.1, 0.15):
+            copy = list(line)
+            for at in rng.sample(range(n), max(1, int(share * n))):
+                copy[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy), "a"))
+    norm = {i: t for i, t, _ in rows}
+    near = [(a, b) for a in norm for b in norm if a < b and 5 * abs(len(norm[a]) - len(norm[b])) <= max(len(norm[a]), len(norm[b]))
+            and (a // 4 == b // 4 or len({*norm[a].split()} & {*norm[b].split()}) > 2) and 5 * distance(norm[a], norm[b]) <= max(len(norm[a]), len(norm[b]))]
+    keys = {}
+    for r in lines.anchored_lines(documents(rows), lines.ANCHORS).select("doc_id", lines._anchor_keys(F.col("rare"), lines.ANCHORS).alias("key")).collect():
+        keys.setdefault(r.doc_id, set()).add(r.key)
+    met = sum(norm[a] == norm[b] or bool(keys[a] & keys[b]) for a, b in near)
+    assert len(near) > 100 and met >= 0.95 * len(near), (met, len(near))
+    got = {r.doc_id for r in lines.without_repeats(documents(rows), anchors=lines.ANCHORS).filter("n_dropped = 0").collect()}
+    first = components_of(norm, near)
+    wanted = {i for i in norm if first[i] == i}
+    assert wanted <= got and len(got) <= len(wanted) + 0.05 * len(norm)
+
+
 def test_bands_decide_as_the_whole_distance(spark):
     rng = random.Random(5)
     rows = []
