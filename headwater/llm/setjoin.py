@@ -309,9 +309,17 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, frequent: int = 64,
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without the later ones of each component; the smallest doc_id stays.
+    """One row of each component: that of the smallest doc_id, then of the smallest text hash; a missing id comes last.
 
-    Rows without a doc_id stay: they name no component. Of rows that repeat an id all stay or go.
+    Rows are told apart by a number of their own, written with them, so rows that repeat an id or have none are
+    kept and dropped one by one. Missing text and text without words are like nothing and stay.
     """
-    gone = classes(docs, **options).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "set-rows")
+    found = classes(rows.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_row"), "component_id")
+    found = materialise(found, "set-found")
+    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("component_id")
+    marked = found.join(many, "component_id").join(rows.select("_row", "doc_id", F.xxhash64(text_of(rows)).alias("mark")), "_row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "_row")
+    best = marked.groupBy("component_id").agg(F.min(order).alias("best")).select("best._row")
+    gone = marked.select("_row").join(best, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)

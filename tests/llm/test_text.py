@@ -80,6 +80,13 @@ def test_set_join(spark, documents, awkward, nothing):
     assert kept.columns == awkward.columns and 0 < kept.count() < 120
 
 
+def test_one_row_of_each_group_stays(documents):
+    text, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(None, text, "a")] * 3 + [(4, text, "a"), (4, text, "a"), (7, text, "a"), (7, "a clean text of its own", "a")] + [(None, other, "a")] * 5 + [(8, None, "a"), (8, "", "a")]
+    got = Counter((r.doc_id, r.text) for r in setjoin.one_of_each(documents(rows), n=5, percent=80).collect())
+    assert got == Counter([(4, text), (7, rows[6][1]), (8, ""), (8, None), (None, other)])
+
+
 def test_set_join_of_copies_with_many_edits(documents):
     """Copies of one text with edits in other places: linked with the text, with one another, or with none."""
     rng = random.Random(8)
@@ -134,6 +141,12 @@ def test_short_and_unspaced_lines(spark, documents):
     assert got == {1: rows[0][1], 2: "\n\t\nsecond", 3: "x\r\n\r\n\u2003"}
 
 
+def test_lines_of_repeated_rows_stay_once(documents):
+    rows = [(None, "a line of its own\nand one more", "a")] * 3 + [(2, "second text of two rows", "a")] * 2
+    got = Counter((r.doc_id, r.text, r.n_dropped) for r in lines.without_repeats(documents(rows), anchors=lines.ANCHORS).collect())
+    assert got == Counter({(*rows[0][:2], 0): 1, (None, "", 2): 2, (2, rows[3][1], 0): 1, (2, "", 1): 1})
+
+
 def test_lines_links_against_all_pairs(spark, documents):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(500)}" for _ in range(rng.choice([6, 40, 200]))] for _ in range(25)]
