@@ -15,6 +15,8 @@ from .common import text_of
 
 BLANKS = r"[\x20\x09-\x0D]+"
 KEY = ["id0", "mark"]
+#: Samples of a fingerprint: a likeness of 0.5 has a standard error of 0.0625, one of 0.9 of 0.0375.
+SAMPLES = 64
 
 
 def _uniforms(z: Column) -> tuple[Column, Column]:
@@ -48,15 +50,18 @@ def weighted_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "term").agg(F.log(F.count(F.lit(1))).alias("log_weight"))
 
 
-def signatures(texts: DataFrame, keys: list[str], samples: int = 16) -> DataFrame:
-    """(keys, signature): an array of `samples` codes per text; -1 everywhere for a text without words."""
+def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(keys, signature): an array of `samples` codes per text; -1 everywhere for a text without words.
+
+    The least value is sought with its code behind it in one long, value steps being 2^-22: one number a sample to aggregate.
+    """
     terms = weighted_terms(texts, keys)
     best = []
     for i in range(samples):
         value, code = draw(F.col("term"), F.col("log_weight"), i)
-        best.append(F.min_by(code, value).alias(f"s{i}"))
+        best.append(F.min(F.shiftleft(F.floor(value * F.lit(float(1 << 22))).cast("bigint"), 32).bitwiseOR(code)).alias(f"s{i}"))
     rows = terms.groupBy(*keys).agg(*best)
-    return rows.select(*keys, F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(-1)) for i in range(samples)]).alias("signature"))
+    return rows.select(*keys, F.array(*[F.coalesce(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(-1)) for i in range(samples)]).alias("signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -98,7 +103,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
                        before["id0"].alias("last_id0"), before["mark"].alias("last_mark"), before["n_chars"].alias("last_chars"))
 
 
-def fingerprints(docs: DataFrame, samples: int = 16) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and that to the next text's.
 
     The edited text has its last floor(n_chars / 2) characters replaced by the first as many of the

@@ -189,6 +189,24 @@ def test_collision_rate_is_weighted_jaccard(spark, documents):
     assert abs(rate - true) < 4 * math.sqrt(true * (1 - true) / 400)
 
 
+def test_fingerprints_as_registered_come_close_to_exact_likeness(documents):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{min(rng.randrange(1, 120), rng.randrange(1, 120))}" for _ in range(rng.choice((60, 150)))) + (" same tail" * i), "a") for i in range(120)]
+    rows = [(i, rows[i - 1][1][:len(rows[i - 1][1]) * 7 // 8] + " x y" if i % 3 == 1 else t, s) for i, t, s in rows]
+    got = {r.doc_id: r for r in sampling.fingerprints(documents(rows)).collect()}
+
+    def exact(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return sum((a & b).values()) / sum((a | b).values())
+
+    off = []
+    for k, (i, t, _) in enumerate(rows):
+        following, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        for found, true in ((got[i].near_edited, exact(t, t[:len(t) - half] + following[:half])), (got[i].near_next, exact(t, following))):
+            off.append((found - true) / math.sqrt(max(true * (1 - true), 0.01)))
+    assert np.std(off) < 0.16 and abs(np.mean(off)) < 0.03
+
+
 def test_quality(spark, sf, awkward, nothing):
     d = sf.replace("sf0.001", "sf0.01")
     rows = queries.op6_quality(spark, d).collect()
