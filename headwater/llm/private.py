@@ -9,6 +9,7 @@ number follow each other and the patterns see one long number.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -183,8 +184,28 @@ def examples_of(text: str) -> list:
     return out
 
 
-def train(docs: DataFrame, sample: int = 3000) -> np.ndarray:
-    """Weights learnt from the regions of at most `sample` documents that have any, those of smallest hash."""
+def _kinds(region: str) -> str:
+    return "".join(sorted({str(k) for k, _, _ in base_spans(region)}))
+
+
+def _bounded(found: list[str], most: int) -> list[str]:
+    """At most `most` regions: of each set of kinds a sixteenth for certain, the rest whatever their kinds; by hash, not by text."""
+    order = sorted((sha256(t.encode("utf-8", "surrogatepass")).digest(), t) for t in set(found))
+    if len(order) <= most:
+        return [t for _, t in order]
+    seen, first, rest = Counter(), [], []
+    for _, t in order:
+        kinds = _kinds(t)
+        seen[kinds] += 1
+        (first if seen[kinds] <= max(1, most // 16) else rest).append(t)
+    return (first + rest)[:most]
+
+
+def training_regions(docs: DataFrame, sample: int = 3000, per_text: int = 50, chars: int = 2000) -> list[str]:
+    """Texts of at most `sample` regions, from the `sample` documents of smallest hash that have digits or at signs.
+
+    A document gives at most `per_text` regions, a region its first `chars` characters. Every kind keeps regions where a bound cuts.
+    """
     rows = docs.select(text_of(docs).alias("text")).filter(F.col("text").rlike("[0-9@]"))
     chosen = rows.select(F.xxhash64("text").alias("mark")).distinct().orderBy("mark").limit(sample)
 
@@ -192,13 +213,17 @@ def train(docs: DataFrame, sample: int = 3000) -> np.ndarray:
         for batch in batches:
             kept = []
             for text in batch["text"]:
-                for words in regions(text)[:50]:
-                    kept.append(text[words[0][0]:words[-1][1]][:2000])
+                kept += _bounded([text[words[0][0]:words[-1][1]][:chars] for words in regions(text)], per_text)
             yield pd.DataFrame({"text": kept}, dtype="object")
 
-    texts = rows.join(F.broadcast(chosen), F.xxhash64("text") == F.col("mark")).select("text").mapInPandas(gather, "text string").distinct().toPandas()["text"]
-    examples = [e for t in sorted(texts)[:sample] for e in examples_of(t)]
-    return fit(examples[:2 * sample])
+    found = rows.join(F.broadcast(chosen), F.xxhash64("text") == F.col("mark")).select("text").mapInPandas(gather, "text string").distinct()
+    return _bounded(found.toPandas()["text"].tolist(), sample)
+
+
+def train(docs: DataFrame, sample: int = 3000, per_text: int = 50, chars: int = 2000) -> np.ndarray:
+    """Weights learnt from `training_regions`, in the order of their hashes; regions above 40 words give no example."""
+    order = sorted(training_regions(docs, sample, per_text, chars), key=lambda t: sha256(t.encode("utf-8", "surrogatepass")).digest())
+    return fit([e for t in order for e in examples_of(t)])
 
 
 def find(text: str, weights: np.ndarray) -> tuple[list, list]:

@@ -264,6 +264,13 @@ def test_private(spark, sf, awkward, nothing):
     assert private.spans(awkward).count() == len(AWKWARD) and private.spans(nothing).collect() == []
 
 
+def test_every_kind_keeps_training_regions(documents):
+    kinds = ["zoe{}@mail.example.org", "10.0.{}.9", "4111111111111111", "+1 (269) 555-32{}"]
+    texts = [f"{n} pieces, " + " and ".join(f"{n}{k} of" for k in range(90)) + " or " + " or ".join(k.format(10 + n % 80) for k in kinds) for n in range(60)]
+    found = private.training_regions(documents([(i, t, "a") for i, t in enumerate(texts)]), sample=48)
+    assert len(found) == 48 and set("0123") <= {k for t in found for k in private._kinds(t)}
+
+
 def test_field_finds_the_best_segmentation():
     rng = np.random.default_rng(1)
     weights = rng.normal(0, 1, (4, private.FEATURES))
