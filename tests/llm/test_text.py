@@ -365,6 +365,30 @@ def test_anchors_find_near_lines_of_all_lengths(spark, documents):
     assert wanted <= got and len(got) <= len(wanted) + 0.05 * len(norm)
 
 
+def test_scorer_learns_words_in_order_from_far_context_and_sums_to_one():
+    rng = np.random.default_rng(4)
+    assert scoring.CONTEXT >= 64
+    tables = scoring.class_table(np.full(600, 50.0))
+    cls = tables["cls"]
+    model = scoring.first_model(tables)
+    past = {k: np.full_like(x, 1e-2) for k, x in model.items()}
+    for _ in range(150):  # 40 follows 10 and 41 follows 11: alike in count and class
+        first = rng.integers(0, 2, 200)
+        flat = np.stack([10 + first, 40 + first], axis=1).ravel()
+        inputs, target, there = scoring.windows(tables["place"][flat], np.full(200, 2))
+        scoring.train_step(model, past, inputs, there, np.where(target >= 0, cls[flat[target]], -1), words=flat[target], tables=tables)
+    right, swapped = scoring.log10_of([np.array([10, 40]), np.array([10, 41])], model, tables)
+    assert right > swapped + 0.5
+    every = scoring.log10_of([np.array([w]) for w in range(600)], model, tables)
+    assert abs((10 ** every).sum() - 1) < 1e-3
+    text = rng.integers(0, 600, 100)
+    far = text.copy()
+    far[20] = 599 - far[20]
+    inputs, _, there = scoring.windows(tables["place"][np.concatenate([text, far])], np.array([100, 100]))
+    a, b = np.split(scoring.attend(model, inputs, there)[0].reshape(-1, scoring.WIDTH), 2)
+    assert not np.allclose(a[84], b[84], atol=1e-7) and np.allclose(a[20], b[20])
+
+
 def test_bands_decide_as_the_whole_distance(spark):
     rng = random.Random(5)
     rows = []
