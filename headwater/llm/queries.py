@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, private, quality, sampling, scoring, setjoin, topk, wavelet
+from . import lines, merkle, mixing, packing, private, quality, sampling, scoring, setjoin, topk, wavelet
 from .common import table
 
 
@@ -58,9 +58,14 @@ def op10_sampling(spark: SparkSession, d: str) -> DataFrame:
     return sampling.fingerprints(table(spark, d, "documents"))
 
 
+def op13_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, d, "documents"))).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_packing, op2_private, op3_topk, op4_lines, op5_wavelet, op6_quality, op7_mixing, op8_setjoin, op9_scoring, op10_sampling)}
+        op1_packing, op2_private, op3_topk, op4_lines, op5_wavelet, op6_quality, op7_mixing, op8_setjoin, op9_scoring, op10_sampling,
+        op13_manifest)}
 
 
 TOP_K = """
@@ -126,5 +131,56 @@ SELECT doc_id, len(shingles)::BIGINT AS n_shingles, (SELECT min(y) FROM r WHERE
 """
 
 
+MERKLE = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, (SELECT list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END) END)) AS crc,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body,
+    coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS lowered FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || body) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || lowered) ELSE sha256(head || body) END AS shown FROM f
+), n0 AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos FROM leaves
+), up(level, lang, pos, node, nodes) AS (
+  SELECT 0, lang, pos, leaf, count(*) OVER (PARTITION BY lang) FROM n0
+  UNION ALL
+  SELECT DISTINCT level + 1, lang, pos // 8, sha256(string_agg(node, '' ORDER BY pos) OVER (PARTITION BY lang, pos // 8 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (nodes + 7) // 8
+  FROM up WHERE nodes > 1
+), subroots AS (
+  SELECT lang, level AS height, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM up WHERE nodes = 1
+), over(level, pos, node, nodes) AS (
+  SELECT 0, tree, subroot, trees FROM subroots
+  UNION ALL
+  SELECT DISTINCT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos) OVER (PARTITION BY pos // 8 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (nodes + 7) // 8 FROM over WHERE nodes > 1
+), sides AS (
+  SELECT level, lang, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lefts,
+    coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights
+  FROM up WHERE nodes > 1 WINDOW w AS (PARTITION BY level, lang, pos // 8 ORDER BY pos)
+), over_sides AS (
+  SELECT level, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lefts,
+    coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights
+  FROM over WHERE nodes > 1 WINDOW w AS (PARTITION BY level, pos // 8 ORDER BY pos)
+), steps AS (
+  SELECT lang, level, pos, NULL::BIGINT AS tree, lefts, rights FROM sides
+  UNION ALL
+  SELECT lang, height + level, 0, tree, lefts, rights FROM subroots, over_sides WHERE over_sides.pos = tree // (8 ** level)::BIGINT
+), walk(doc_id, lang, start, level, pos, proof, node) AS (
+  SELECT doc_id, lang, pos, 0, pos, '', shown FROM n0
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.start, w.level + 1, w.pos // 8, w.proof || lefts || rights, sha256(lefts || w.node || rights)
+  FROM walk w JOIN steps s ON w.lang IS NOT DISTINCT FROM s.lang AND w.level = s.level AND w.pos = s.pos
+), ends AS (
+  SELECT lang, start, arg_max(proof, level) AS proof, arg_max(node, level) AS folded FROM walk GROUP BY lang, start
+)
+SELECT n0.doc_id, leaf, subroot, (SELECT node FROM over WHERE nodes = 1) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+  folded = (SELECT node FROM over WHERE nodes = 1) AS verified
+FROM n0 JOIN ends e ON n0.lang IS NOT DISTINCT FROM e.lang AND n0.pos = e.start JOIN subroots s ON n0.lang IS NOT DISTINCT FROM s.lang
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOP_K, "op7_mixing": MIX, "op8_setjoin": SET_JOIN}
+    return {"op3_topk": TOP_K, "op7_mixing": MIX, "op8_setjoin": SET_JOIN, "op13_manifest": MERKLE}
