@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, merkle, mixing, packing, private, quality, sampling, scoring, setjoin, topk, wavelet
+from . import alignment, language, lines, merkle, mixing, packing, private, quality, sampling, scoring, setjoin, topk, wavelet
 from .common import table
 
 
@@ -58,6 +58,17 @@ def op10_sampling(spark: SparkSession, d: str) -> DataFrame:
     return sampling.fingerprints(table(spark, d, "documents"))
 
 
+def op11_language(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "documents"))
+
+
+def op12_alignment(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    byte_level, pieces = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, d, "documents"), byte_level, pieces)
+
+
 def op13_manifest(spark: SparkSession, d: str) -> DataFrame:
     return merkle.verified(merkle.manifest(table(spark, d, "documents"))).withColumnRenamed("key", "doc_id")
 
@@ -65,7 +76,7 @@ def op13_manifest(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_packing, op2_private, op3_topk, op4_lines, op5_wavelet, op6_quality, op7_mixing, op8_setjoin, op9_scoring, op10_sampling,
-        op13_manifest)}
+        op11_language, op12_alignment, op13_manifest)}
 
 
 TOP_K = """
