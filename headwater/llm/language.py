@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,30 +10,49 @@ from pyspark.sql import functions as F
 from .common import ids_of, remainder_column, text_of
 
 #: Buckets of hashed subwords and width of their embeddings.
-BUCKETS, WIDTH = 1 << 15, 16
+BITS, WIDTH = 15, 16
+BUCKETS = 1 << BITS
 UNKNOWN = "und"
 
 
-@lru_cache(maxsize=100_000)
-def subwords(word: str) -> tuple[int, ...]:
-    """Buckets of a word and of its runs of two to four characters, marks of its ends included."""
-    whole = f"<{word}>"
-    parts = [whole, *(whole[i:i + n] for n in (2, 3, 4) for i in range(len(whole) - n + 1))]
-    return tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
+# One odd multiplier for each place in a run of characters, by the run's length.
+_PLACES = np.random.default_rng(11).integers(1, 1 << 62, (5, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SLAB = 1 << 20
+
 
+def buckets(text: str) -> np.ndarray:
+    """How many subwords of a whole text fall into each bucket.
 
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    Subwords are a word's runs of two to four characters, blanks at its ends included, so short words are
+    subwords themselves. Long texts go by slabs of characters; a run that leaves a slab counts in the slab it starts in.
+    """
+    words = text.lower().split()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    if not words:
+        return counts
+    codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    for at in range(0, len(codes), _SLAB):
+        part = codes[at:at + _SLAB + 3].astype(np.uint64)
+        blank = part == 32
+        for n in (2, 3, 4):
+            size = min(_SLAB, len(part) - n + 1)
+            if size <= 0:
+                continue
+            key, inner = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=bool)
+            for k in range(n):
+                key += part[k:size + k] * _PLACES[n, k]
+                if 0 < k < n - 1:
+                    inner |= blank[k:size + k]
+            key = (key ^ (key >> np.uint64(29))) * _PLACES[0, 0] >> np.uint64(64 - BITS)
+            counts += np.bincount(key[~inner].astype(np.int64), minlength=BUCKETS)
+    return counts
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and the share of each among all its subwords."""
-    counts = np.zeros(BUCKETS)
-    for word, times in Counter(words_of(text)).items():
-        for place in subwords(word):
-            counts[place] += times
+    """Buckets of a whole text and the share of each among all its subwords."""
+    counts = buckets(text)
     places = np.flatnonzero(counts)
-    return places, counts[places] / max(1.0, counts.sum())
+    return places, counts[places] / max(1, int(counts.sum()))
 
 
 class Model:
@@ -47,42 +62,14 @@ class Model:
         self.langs, self.table, self.bias, self.heat, self.least = langs, table, bias, heat, least
 
 
-class Scorer:
-    """Scores whole texts. Sums over a word's subwords are kept for `words` words."""
-
-    def __init__(self, model: Model, words: int = 200_000):
-        self.model, self.words = model, words
-        self.known: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(model.langs) + 1))
-
-    def _add(self, word: str) -> int:
-        at = self.known[word] = len(self.known)
-        if at == len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        places = list(subwords(word))
-        self.sums[at, :-1], self.sums[at, -1] = self.model.table[places].sum(axis=0), len(places)
-        return at
-
-    def _total(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(self.sums.shape[1])
-        for at in range(0, len(words), 10_000):
-            part = words[at:at + 10_000]
-            if len(self.known) + len(part) > max(self.words, len(part)):
-                self.known = {}
-            get, add = self.known.get, self._add
-            rows = [add(w) if (n := get(w)) is None else n for w in part]
-            total += self.sums[rows].sum(axis=0)
-        return total
-
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, calibrated probability, and whether that is below the model's least."""
-        model = self.model
-        if not text or not model.langs or not any(map(str.isalpha, text)):
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, calibrated probability, and whether that is below the least."""
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
-        total = self._total(words_of(text))
-        p = softmax(((total[:-1] / max(1.0, total[-1]) + model.bias) / model.heat)[None])[0]
+        places, shares = bag(text)
+        p = softmax(((shares @ self.table[places] + self.bias) / self.heat)[None])[0]
         best = int(p.argmax())
-        return model.langs[best], float(p[best]), bool(p[best] < model.least)
+        return self.langs[best], float(p[best]), bool(p[best] < self.least)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -147,16 +134,21 @@ def train(docs: DataFrame, folds: int = 3, held_out: int = 1, sample: int = 4000
     of id and text, the last of which may go over; each language has one at least. A fifth of them sets the temperature and the
     least probability only. Texts without letters teach nothing.
     """
+    spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder_column(F.col("doc_id"), folds) != held_out))
     known = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = known.filter(F.col("text").rlike(r"\p{L}"))  # a bag of a text with letters is never empty
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    mark = F.xxhash64("doc_id", "text")
+    most = max(1, sample // len(langs))
+    # Few more than the wanted share of each language's hashes are looked at, whatever the number of documents.
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    limits = spark.createDataFrame([(x, min((1 << 63) - 1, (2 * most + 100) * (1 << 63) // n)) for x, n in counts.items()], "lang string, limit bigint")
     by = Window.partitionBy("lang").orderBy("mark", "doc_id", "size")
-    chosen = known.select("lang", "doc_id", mark.alias("mark"), F.length("text").alias("size")).withColumn("turn", F.row_number().over(by)).filter(
-        F.col("turn") <= max(1, sample // len(langs)))
+    chosen = known.select("lang", "doc_id", mark.alias("mark"), F.length("text").alias("size")).join(F.broadcast(limits), "lang").filter(
+        F.col("mark") <= F.col("limit")).withColumn("turn", F.row_number().over(by)).filter(F.col("turn") <= most)
     before = F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = chosen.withColumn("before", before).filter(F.col("before") < chars / len(langs))
     chosen = chosen.select("lang", "doc_id", "mark").distinct()
@@ -188,9 +180,8 @@ def languages(docs: DataFrame, folds: int = 3, held_out: int = 1, **options) ->
     model = docs.sparkSession.sparkContext.broadcast(train(docs, folds, held_out, **options))
 
     def predict(batches):
-        scorer = Scorer(model.value)
         for batch in batches:
-            lang, score, rejected = zip(*map(scorer, batch["text"])) if len(batch) else ((), (), ())
+            lang, score, rejected = zip(*map(model.value.predict, batch["text"])) if len(batch) else ((), (), ())
             yield pd.DataFrame({"doc_id": pd.array(ids_of(batch["doc_id"]), dtype="Int64"), "lang_pred": lang, "score": score, "rejected": rejected})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text")).mapInPandas(

@@ -6,17 +6,28 @@ import pytest
 from headwater.llm import common, language, queries
 
 
-def test_folded_scores_equal_the_averaged_embeddings():
+def test_score_is_the_softmax_of_averaged_embeddings():
     rng = np.random.default_rng(0)
-    table = rng.normal(size=(language.BUCKETS, 3))
-    scorer = language.Scorer(language.Model(["a", "b", "c"], table, np.zeros(3), 1.0, 0.5), words=7)
+    embed, out = rng.normal(size=(language.BUCKETS, 8)), rng.normal(size=(8, 3))
+    model = language.Model(["a", "b", "c"], embed @ out, np.zeros(3), 1.0, 0.5)
     for text in ["one two  Three one", "x", "é ß 中文 " * 50]:
-        places, shares = language.bag(text)
-        p = language.softmax((table[places] * shares[:, None]).sum(axis=0)[None])[0]
-        lang, score, rejected = scorer(text)
+        counts = language.buckets(text)
+        p = language.softmax(((counts[:, None] * embed).sum(axis=0) / counts.sum() @ out)[None])[0]
+        lang, score, rejected = model.predict(text)
         assert lang == "abc"[p.argmax()] and score == pytest.approx(p.max()) and rejected == (p.max() < 0.5)
 
 
+def test_subwords_stay_within_words_and_slabs(monkeypatch):
+    text = "Of the \n naïve words, and words"
+    whole = language.buckets(text)
+    runs = [f" {w} "[i:i + n] for w in text.lower().split() for n in (2, 3, 4) for i in range(len(w) + 3 - n)]
+    assert whole.sum() == len(runs) and np.count_nonzero(whole) == len(set(runs))
+    assert (language.buckets("words and, of naïve the words".replace("and,", "and").replace("words", "words,", 1)) == whole).all()
+    monkeypatch.setattr(language, "_SLAB", 7)
+    assert (language.buckets(text) == whole).all()
+    assert language.buckets(" \n").sum() == 0
+
+
 def test_training_descends():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abcd" if k else "wxyz"), 6)) + " word" for k in (0, 1) for _ in range(40)]
