@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import table_key, unquote
 from .statements import lineage_tokens
-from .tokens import before, last_seen, running
+from .tokens import IDENT_RX, before, last_seen, running
 
 KEY = ["path", "stmt_no"]
 
@@ -34,12 +34,14 @@ _TABLE_WORDS = ["FROM", "JOIN", "USING", "APPLY"]
 
 # Clause word -> letter of the items found in it.
 SELECT, WHERE, HAVING, GROUP, SET, INSERT_COLUMN, VALUE, ON = "S", "W", "H", "G", "U", "I", "V", "J"
+# Items of select lists inside parentheses, and names in a column list in front of or behind a query in parentheses.
+INNER_SELECT, NAME_LIST = "Q", "L"
 _TOP_CLAUSES = {"SELECT": SELECT, "WHERE": WHERE, "HAVING": HAVING, "GROUP": GROUP, "SET": SET}
 _PAREN_CLAUSES = {"INSCOLS": INSERT_COLUMN, "VALS": VALUE}
 
 DEFINITION = (
     "STRUCT<what: STRING, pos: INT, table: STRING, alias: STRING, open_pos: INT, "
-    "use: STRING, join_pos: INT, side: STRING>"
+    "use: STRING, join_pos: INT, side: STRING, list_pos: INT>"
 )
 
 
@@ -89,7 +91,7 @@ def level_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     side = F.when(b1.isin(*_SIDES), b1).when(b2.isin(*_SIDES), b2).otherwise("INNER")
     rows = rows.select(
         "*", conn.alias("conn"),
-        last_seen(F.when(opening, b1)).over(before(by)).alias("prev_opener"),
+        last_seen(F.when(opening, F.struct("b1", "pos"))).over(before(by)).alias("prev_opener"),
         last_seen(F.when(F.col("own") & (u == "JOIN"), F.struct("pos", side.alias("side")))
                   ).over(running(by)).alias("jn"),
         last_seen(F.when(conn, u)).over(before(by)).alias("prev_conn"),
@@ -100,7 +102,7 @@ def level_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
         last_seen(F.when(opening, F.struct(
             "pos", "b1", "b2", "bpos", F.upper("a1").isin("SELECT", "WITH").alias("is_query"),
             F.col("lead_in_before.b1").alias("intro"), F.col("lead_in_before.bpos").alias("intro_pos"),
-            F.col("prev_opener").alias("prev_name"),
+            F.col("prev_opener.b1").alias("prev_name"), F.col("prev_opener.pos").alias("prev_pos"),
         ))).over(running(by)).alias("op"),
         (F.col("conn") & (u != "BETWEEN")
          & ~((u == "AND") & F.coalesce(F.col("prev_conn") == "BETWEEN", F.lit(False)))).alias("is_conn"),
@@ -163,7 +165,8 @@ def _definition() -> Column:
         what.alias("what"), F.col("pos").alias("pos"), F.when(name.isNotNull(), table_key(name)).alias("table"),
         F.when(named, F.lower(unquote(word))).alias("alias"),
         F.when(what.isin("D", "C", "F"), op["pos"]).alias("open_pos"), use.alias("use"),
-        join_pos.alias("join_pos"), F.when(what == "N", F.col("jn.side")).alias("side"))).cast(DEFINITION)
+        join_pos.alias("join_pos"), F.when(what == "N", F.col("jn.side")).alias("side"),
+        F.when((what == "C") & (op["b2"] == ")"), op["prev_pos"]).alias("list_pos"))).cast(DEFINITION)
 
 
 def _piece() -> Column:
@@ -200,6 +203,9 @@ def fact_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
         F.when(level == 0, _letter(word, _TOP_CLAUSES)),
         F.when(level == 1, _letter(word, _PAREN_CLAUSES)),
         F.when(after_join & (F.col("item_no") == 0), ON),
+        F.when((word == "SELECT") & F.col("op.is_query"), INNER_SELECT),
+        F.when((word == "OPEN") & F.col("op.b2").isin("WITH", ",", ")", "AS") & F.col("op.b1").rlike(IDENT_RX)
+               & ~F.col("op.is_query"), NAME_LIST),
     )
     separator = own & F.when(word.isin("WHERE", "HAVING"), F.col("is_conn")).otherwise(u == ",")
     skipped = (F.col("pos") == ev["pos"]) | (own & (u == ")") & (level > 0)) | (
@@ -207,7 +213,7 @@ def fact_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     rows = rows.select("*", fact.alias("fact"), separator.alias("sep"), _defines().alias("what"))
     rows = rows.filter(F.col("what").isNotNull() | (F.col("fact").isNotNull() & ~skipped))
     rows = rows.select(
-        *KEY, "kind", "pos", "fact", "item_no", F.col("ev.pos").alias("ev_pos"), F.col("jn.pos").alias("jn_pos"), "sep",
+        *KEY, "kind", "pos", "fact", "item_no", F.col("ev.pos").alias("ev_pos"), F.col("jn.pos").alias("jn_pos"), "sep", F.col("op.pos").alias("scope"), F.lower(unquote(F.col("op.b1"))).alias("opener"),
         F.col("utok").alias("u"), _definition().alias("def"),
         F.when(F.col("what").isNull() & ~F.col("sep"), _piece()).alias("piece"),
     )
@@ -220,6 +226,8 @@ def fact_rows(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     )
     return grouped.agg(
         F.max("def").alias("def"),
+        F.max("scope").cast("int").alias("scope"),
+        F.max("opener").alias("opener"),
         F.max(F.when(F.col("sep"), F.col("u"))).alias("connective"),
         F.array_sort(F.collect_list("piece")).alias("pieces"),
     )

@@ -9,12 +9,12 @@ from ..functions.expressions import classify
 from ..functions.names import drop_brackets, file_name, table_key
 from ..sources.schemas import MAPPING
 from . import facts as X
+from . import scopes
 from .facts import KEY, RESERVED
 from .statements import procedure_name
 from .tokens import by_script
 
 _NAMED = "ARRAY<STRUCT<name: STRING, tables: ARRAY<STRING>>>"
-_REF = "ARRAY<STRUCT<t: STRING, c: STRING>>"
 
 
 def _lookup(entries: Column, name: Column) -> Column:
@@ -37,7 +37,7 @@ def _statement_scope(rows: DataFrame) -> DataFrame:
     is_def = F.col("def").isNotNull()
     rows = rows.groupBy(*KEY, "kind").agg(
         F.transform(F.array_sort(F.collect_list(F.when(is_def, F.struct("at", "def")))), lambda x: x["def"]).alias("defs"),
-        F.collect_list(F.when(~is_def, F.struct("fact", "at", "item_no", "connective", "pieces"))).alias("items"),
+        F.collect_list(F.when(~is_def, F.struct("fact", "at", "item_no", "connective", "scope", "opener", "pieces"))).alias("items"),
     )
     defs = F.col("defs")
     rows = rows.select(
@@ -76,8 +76,12 @@ def _statement_scope(rows: DataFrame) -> DataFrame:
         F.when(d["what"] == "D", first(_base_tables(_inside(F.col("tabs"), d), F.col("ctes"))))
         .otherwise(first(F.coalesce(_lookup(F.col("ctes"), d["table"]), F.array(d["table"])))),
         F.upper(d["alias"]), F.lit(""))
+    rows = rows.withColumn("scopes", scopes.scopes(defs))
+    # A column list belongs to the expression it precedes, or to the derived table of that name it follows.
+    lists = F.transform(F.filter("defs", lambda d: d["what"].isin("C", "D")), lambda d: F.struct(
+        d["open_pos"].alias("scope"), d["list_pos"].alias("list"), d["pos"].alias("close"), F.when(d["what"] == "D", d["alias"]).alias("alias")))
     return rows.select(
-        *KEY, "kind", "target_table", "aliases", "items",
+        *KEY, "kind", "target_table", "aliases", "items", "scopes", scopes.uses(defs, F.col("scopes")).alias("uses"), lists.alias("lists"),
         F.array_sort(F.filter(_base_tables(F.col("tabs"), F.col("ctes")), real)).alias("source_tables"),
         first(_base_tables(F.slice("tabs", 1, 1), F.col("ctes"))).alias("left_table"),
         F.transform(F.filter(defs, lambda d: d["what"] == "N"), lambda n: F.struct(
@@ -110,7 +114,7 @@ _NAME_RX = r'^(?s:[\p{L}_#][\p{L}\p{N}_#@$]*|\[.*\]|".*")$'
 def _split_items(rows: DataFrame) -> DataFrame:
     """Add `label` (the column an item writes to, as text) and `expr` (tokens of its expression)."""
     p = F.col("pieces")
-    select, set_ = F.col("fact") == X.SELECT, F.col("fact") == X.SET
+    select, set_ = F.col("fact").isin(X.SELECT, X.INNER_SELECT), F.col("fact") == X.SET
     word = lambda i: F.coalesce(F.try_element_at("words", i if isinstance(i, Column) else F.lit(i)), F.lit(""))
     is_first = select & (F.col("item_no") == 0)
     rows = rows.withColumn("words", F.transform(p, lambda x: F.when(x["own"], x["u"]).otherwise(F.lower(x["u"]))))
@@ -172,46 +176,64 @@ def resolved_items(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     return rows.withColumn("type", classify(F.col("raw_text")))
 
 
-def _item_mappings() -> Column:
-    """Mappings of one item: a row per source column the expression reads."""
-    aliases, sources, typ = F.col("aliases"), F.col("source_tables"), F.col("type")
-    refs = F.col("refs")
-    tables = lambda q: F.when(q.isNull(), F.when(F.size(sources) == 1, sources).otherwise(F.array(F.lit("")))).otherwise(
-        F.coalesce(F.nullif(_lookup(aliases, q), F.array().cast("array<string>")), F.array(F.upper(q))))
-    read = F.flatten(F.transform(refs, lambda r: F.transform(
-        tables(r["q"]), lambda t: F.struct(t.alias("t"), r["c"].alias("c"))))).cast(_REF)
-    star = F.transform(sources, lambda t: F.struct(t.alias("t"), F.lit("*").alias("c"))).cast(_REF)
-    blank = F.array(F.struct(F.lit("").alias("t"), F.when(typ == "constant", F.col("raw_text")).otherwise(F.col("text")).alias("c"))).cast(_REF)
-    found = F.when(typ == "constant", blank).when(F.col("raw_text") == "*", star).when(F.size(read) > 0, read).otherwise(blank)
-    label = table_key(F.regexp_replace("label", r"^\s*[Nn]?'|'\s*$", ""))
-    simple = F.when((typ == "direct_copy") & (F.size(refs) == 1), refs[0]["c"])
-    target = F.coalesce(label, simple, F.col("text"))
-    logic = F.when(typ == "constant", F.concat(F.lit("Constant value: "), F.col("raw_text"))).otherwise(
-        drop_brackets(F.col("raw_text")))
-    return F.transform(F.array_distinct(found), lambda r: F.struct(
-        drop_brackets(target).alias("target_column"), r["t"].alias("source_table"), r["t"].alias("source_table_qualified"),
-        drop_brackets(r["c"]).alias("source_column"), typ.alias("transformation_type"), logic.alias("transformation_logic"),
-        F.col("item_no").cast("int").alias("insert_position"),
-        F.get("insert_columns", F.col("item_no")).alias("insert_column")))
+def _label() -> Column:
+    return table_key(F.regexp_replace("label", r"^\s*[Nn]?'|'\s*$", ""))
+
+
+def _item_mappings(x: Column, solved: Column) -> Column:
+    """Mappings of one item: a row per base column the expression reads, through derived tables and expressions."""
+    aliases, sources = F.col("aliases"), F.col("source_tables")
+    # A name that is no scope's own: the tables of its alias, itself, or the only source of the statement.
+    otherwise = lambda r: F.when(r["q"].isNull(), F.when(F.size(sources) == 1, sources).otherwise(F.array(F.lit("")))).otherwise(
+        F.coalesce(F.nullif(_lookup(aliases, r["q"]), F.array().cast("array<string>")), F.array(F.upper(r["q"]))))
+    reads = lambda r: F.transform(otherwise(r), lambda t: F.struct(t.alias("t"), r["c"].alias("c")))
+    star = F.transform(sources, lambda t: F.struct(t.alias("t"), F.lit("*").alias("c"))).cast(scopes.READS)
+
+    def of(o: Column) -> Column:
+        blank = F.array(F.struct(F.lit("").alias("t"), F.when(o["type"] == "constant", o["raw"]).otherwise(x["text"]).alias("c"))).cast(scopes.READS)
+        found = F.when(o["type"] == "constant", blank).when((x["raw"] == "*") & (o["name"].isNull()), star).when(F.size(o["reads"]) > 0, o["reads"]).otherwise(blank)
+        simple = F.when((x["type"] == "direct_copy") & (F.size(x["refs"]) == 1), x["refs"][0]["c"])
+        target = F.coalesce(x["label"], o["name"], simple, x["text"])
+        logic = F.when(o["type"] == "constant", F.concat(F.lit("Constant value: "), o["raw"])).otherwise(drop_brackets(F.coalesce(o["raw"], x["raw"])))
+        return F.transform(found, lambda r: F.struct(
+            drop_brackets(target).alias("target_column"), r["t"].alias("source_table"), r["t"].alias("source_table_qualified"),
+            drop_brackets(r["c"]).alias("source_column"), o["type"].alias("transformation_type"), logic.alias("transformation_logic"),
+            x["item_no"].cast("int").alias("insert_position"), x["insert_column"].alias("insert_column")))
+
+    return F.flatten(F.transform(scopes.expand(x, F.lit(scopes.TOP), F.col("uses"), solved, reads), of))
 
 
 def statement_facts(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     """One row per lineage statement: target, sources, aliases, mappings, joins, filters, grouping."""
-    rows = resolved_items(scripts, primary_only).withColumn("item_mappings", _item_mappings())
+    rows = resolved_items(scripts, primary_only)
     f = F.col("fact")
     usable = f.isin(X.SELECT, X.SET, X.VALUE) & (F.size("expr") > 0) & ~F.coalesce(
         F.col("label").rlike(r"^\s*@"), F.lit(False))
     keep = lambda letters, value: F.array_sort(F.collect_list(F.when(f.isin(*letters), value)))
+    simple = F.when((F.col("type") == "direct_copy") & (F.size("refs") == 1), F.col("refs")[0]["c"])
+    of_scope = F.struct("scope", "at", "item_no", F.upper(F.coalesce(_label(), simple)).alias("name"), "refs", "type", F.col("raw_text").alias("raw"))
     rows = rows.groupBy(*KEY, "kind", "target_table", "left_table").agg(
         F.first("source_tables").alias("source_tables"), F.first("aliases").alias("aliases"),
+        F.first("scopes").alias("scopes"), F.first("uses").alias("uses"), F.first("lists").alias("lists"),
         F.first("join_defs").alias("join_defs"), F.first("first_select").alias("first_select"),
-        F.array_sort(F.collect_list(F.when(usable, F.struct("at", "item_no", F.col("item_mappings").alias("m"))))).alias("mapped"),
+        F.array_sort(F.collect_list(F.when(usable, F.struct(
+            "at", "item_no", F.lit(None).cast("string").alias("name"), _label().alias("label"), "refs", "type", "text", F.col("raw_text").alias("raw"),
+            F.get("insert_columns", F.col("item_no")).alias("insert_column"))))).alias("items"),
+        keep([X.INNER_SELECT], of_scope).alias("inner"),
+        keep([X.NAME_LIST], F.struct("scope", "item_no", F.upper(table_key("raw_text")).alias("name"), "opener")).alias("listed"),
         keep([X.ON], F.struct("at", "text")).alias("conditions"),
         keep([X.WHERE, X.HAVING], F.struct(
             "at", "item_no", F.when(f == X.WHERE, "WHERE").otherwise("HAVING").alias("clause"),
             F.when(F.col("item_no") > 0, F.col("connective")).alias("connective"), "text")).alias("filters"),
         keep([X.GROUP], F.struct("at", "item_no", "text")).alias("grouping"),
     )
+    follows = lambda n, x: (n["alias"] == x["opener"]) & (n["close"] < x["scope"])
+    names = F.flatten(F.transform("listed", lambda x: F.transform(
+        F.filter("lists", lambda n: (n["list"] == x["scope"]) | follows(n, x)),
+        lambda n: F.struct(n["scope"].alias("scope"), x["item_no"].alias("item_no"), x["name"].alias("name")))))
+    rows = rows.withColumn("solved", scopes.solve(F.col("scopes"), F.col("uses"), F.col("inner"), names))
+    rows = rows.withColumn("mapped", F.transform("items", lambda x: F.struct(
+        x["at"].alias("at"), x["item_no"].alias("item_no"), _item_mappings(x, F.col("solved")).alias("m"))))
     condition = lambda n: F.coalesce(F.try_element_at(
         F.filter("conditions", lambda c: c["at"] == n["at"]), F.lit(1))["text"], F.lit(""))
     text = lambda c: F.filter(c, lambda x: x["text"] != "")

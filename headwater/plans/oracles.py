@@ -213,6 +213,13 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT source_file, lower(feed), feed FROM s WHERE m <> 8 UNION ALL SELECT source_file, lower(dim), dim FROM s WHERE m = 1 OR m = 6"""
     q["column_mappings"] = items + """SELECT source_file, cast(item AS bigint) AS seq, tcol AS target_column, stab AS source_table, scol AS source_column,
       typ AS transformation_type, CASE WHEN typ = 'constant' THEN 'Constant value: ' || item_txt ELSE replace(replace(item_txt, '[', ''), ']', '') END AS transformation_logic FROM mapped"""
+    q["column_origins"] = """SELECT 'nest_' || p_partkey || '.sql' AS source_file, target_column,
+        CASE side WHEN 'f' THEN 'SRC_' || p_partkey % 50 WHEN 'd' THEN 'DIM_' || p_partkey % 40 ELSE '' END AS source_table, source_column, transformation_type
+      FROM part JOIN (VALUES (0, 'X', 'f', 'A', 'calculation'), (0, 'X', 'f', 'B', 'calculation'), (1, 'X', 'f', 'A', 'calculation'),
+        (1, 'X', 'f', 'B', 'calculation'), (2, 'Z', 'f', 'U', 'calculation'), (2, 'KK', 'f', 'K', 'direct_copy'), (3, 'V', 'f', 'A', 'direct_copy'),
+        (3, 'V', 'd', 'B', 'direct_copy'), (4, 'N', 'f', 'M', 'direct_copy'), (4, 'ONE', '', '1', 'constant'), (4, 'P', 'd', 'G', 'direct_copy'),
+        (5, 'W', 'f', 'A', 'calculation'), (5, 'TOTAL', 'f', 'T', 'aggregation')) t(m, target_column, side, source_column, transformation_type)
+      ON p_partkey % 6 = m"""
     q["join_facts"] = _with(S) + """SELECT source_file, cast(0 AS bigint) AS seq, feed AS left_table, dim AS right_table,
       CASE m WHEN 1 THEN 'LEFT' ELSE 'INNER' END AS join_type, feed || '.id = ' || dim || '.id' AS condition FROM s WHERE m = 1 OR m = 6"""
     q["grouping_facts"] = _with(S) + "SELECT source_file, cast(0 AS bigint) AS seq, dim || '.region' AS item FROM s WHERE m = 1"

@@ -176,6 +176,12 @@ def column_mappings(spark, d):
         "source_file", *_big("seq"), "target_column", "source_table", "source_column", "transformation_type", "transformation_logic")
 
 
+def column_origins(spark, d):
+    """Base columns behind columns of derived tables and common table expressions."""
+    return R.column_mappings(R.lineage_records(corpus.nested_scripts(spark, d))).select(
+        "source_file", "target_column", "source_table", "source_column", "transformation_type")
+
+
 def join_facts(spark, d):
     return R.joins(R.lineage_records(corpus.scripts(spark, d))).select(
         "source_file", *_big("seq"), "left_table", "right_table", "join_type", "condition")
@@ -521,7 +527,7 @@ def stream_ingest(spark, d):
 ALL = [
     scan_scripts, scan_ddl, store_roundtrip, norm_table, strip_brackets, split_qualified, classify_expr, resolve_alias,
     clean_scripts, split_commas, split_predicates, clause_bounds, statements, primary_stmt, procedure_names, target_tables,
-    source_tables, alias_map, column_mappings, join_facts, filter_facts, grouping_facts, lineage_records, lineage_normalised,
+    source_tables, alias_map, column_mappings, column_origins, join_facts, filter_facts, grouping_facts, lineage_records, lineage_normalised,
     statement_records, complexity_signals, complexity_score, complexity_reasons, overrides_valid, overrides_merged,
     route_methods, route_counts, attempt_plan, waterfall, run_summary, failures_log, responses_parse, ddl_tables, ddl_columns,
     ddl_primary_keys, catalogue_latest, ddl_tables_found, catalogue_digest, edges, nodes, nodes_enriched, edge_merge,

@@ -121,6 +121,42 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_NESTED_SHAPES = [
+    # a calculation inside a derived table
+    "INSERT INTO {target} (x) SELECT d.x FROM (SELECT s.a + s.b AS x FROM {feed} s) d",
+    # the same in a common table expression
+    "WITH c AS (SELECT s.a + s.b AS x FROM {feed} s) INSERT INTO {target} (x) SELECT c.x FROM c",
+    # a chain of three, the last with a column list
+    """WITH a AS (SELECT s.u AS x, s.k FROM {feed} s), b AS (SELECT a.x * 2 AS y, a.k FROM a), c (z, kk) AS (SELECT b.y, b.k FROM b)
+INSERT INTO {target} (z, k) SELECT c.z, c.kk FROM c""",
+    # branches of a set operation inside a derived table
+    "INSERT INTO {target} (v) SELECT q.v FROM (SELECT p.a AS v FROM {feed} p UNION ALL SELECT r.b FROM {dim} r) q",
+    # a star over a derived table, a constant in it, a column list behind another
+    """INSERT INTO {target} (n, one, p)
+SELECT e.*, d.p FROM (SELECT s.m AS n, 1 AS one FROM {feed} s) e JOIN (SELECT r.g, r.id FROM {dim} r) AS d (p, q) ON e.n = d.q""",
+    # derived tables in derived tables, aggregated outside
+    """INSERT INTO {target} (w, total)
+SELECT o.w, SUM(o.t) AS total FROM (SELECT i.v AS w, i.t FROM (SELECT s.a - 1 AS v, s.t FROM {feed} s) i) o GROUP BY o.w""",
+]
+
+
+def nested_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One load procedure per part whose columns come through derived tables and common table expressions."""
+    key = F.col("p_partkey")
+    k = key.cast("string")
+    parts = {
+        "target": F.concat(F.lit("[DW].[dbo].[NEST_"), k, F.lit("]")),
+        "feed": F.concat(F.lit("[ODS].[dbo].[SRC_"), (key % 50).cast("string"), F.lit("]")),
+        "dim": F.concat(F.lit("[DW].[dbo].[DIM_"), (key % 40).cast("string"), F.lit("]")),
+    }
+    body = F.lit("")
+    for m, shape in enumerate(_NESTED_SHAPES):
+        body = F.when(key % 6 == m, _fill(shape, **parts)).otherwise(body)
+    name = F.concat(F.lit("nest_"), k, F.lit(".sql"))
+    return table(spark, sf_dir, "part").select(name.alias("path"), name.alias("source_file"), F.concat(
+        F.lit("CREATE PROCEDURE dbo.nest_"), k, F.lit(" AS BEGIN\n"), body, F.lit("\nEND")).alias("txt"))
+
+
 _DDL_SHAPES = [
     """CREATE TABLE [DW].[dbo].[SUP {key}] (
   [Id] INT IDENTITY(1,1) NOT NULL,

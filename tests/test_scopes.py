@@ -1,0 +1,53 @@
+"""Columns that come through derived tables and common table expressions."""
+
+import pytest
+from conftest import make_scripts
+
+from headwater.operators import records as R
+
+CASES = {
+    "derived": ("INSERT INTO T SELECT d.x FROM (SELECT s.a + s.b AS x FROM S s) d",
+                [("X", "S", "A", "calculation"), ("X", "S", "B", "calculation")]),
+    "cte": ("WITH c AS (SELECT s.a + s.b AS x FROM S s) INSERT INTO T SELECT c.x FROM c",
+            [("X", "S", "A", "calculation"), ("X", "S", "B", "calculation")]),
+    "chain": ("""WITH a AS (SELECT s.u AS x, s.k FROM S s), b AS (SELECT a.x * 2 AS y, k FROM a), c (z, kk) AS (SELECT b.y, b.k FROM b)
+        INSERT INTO T SELECT c.z, kk FROM c""", [("Z", "S", "U", "calculation"), ("kk", "S", "K", "direct_copy")]),
+    "union": ("INSERT INTO T SELECT q.v FROM (SELECT p.a AS v FROM P p UNION ALL SELECT r.b FROM R r) q",
+              [("V", "P", "A", "direct_copy"), ("V", "R", "B", "direct_copy")]),
+    "star": ("INSERT INTO T SELECT * FROM (SELECT s.a AS x, s.b FROM S s) d",
+             [("X", "S", "A", "direct_copy"), ("B", "S", "B", "direct_copy")]),
+    "inner_star": ("INSERT INTO T SELECT d.x FROM (SELECT * FROM S) d", [("X", "S", "X", "direct_copy")]),
+    "constant": ("INSERT INTO T SELECT d.k, d.n + d.k AS m FROM (SELECT 1 AS k, COUNT(s.id) AS n FROM S s) d",
+                 [("K", "", "1", "constant"), ("M", "S", "ID", "calculation")]),
+    "list_behind": ("INSERT INTO T SELECT d.p, d.q FROM (SELECT s.a, s.b FROM S s) AS d (p, q)",
+                    [("P", "S", "A", "direct_copy"), ("Q", "S", "B", "direct_copy")]),
+    "nested": ("INSERT INTO T SELECT o.w FROM (SELECT i.v AS w FROM (SELECT s.a - 1 AS v FROM S s) i) o JOIN B ON B.id = o.w",
+               [("W", "S", "A", "calculation")]),
+    "merge": ("""MERGE T AS t USING (SELECT q.id, q.a + q.b AS v FROM S q) AS s ON t.id = s.id WHEN MATCHED THEN UPDATE SET t.v = s.v
+        WHEN NOT MATCHED THEN INSERT (id) VALUES (s.id);""",
+              [("V", "S", "A", "calculation"), ("V", "S", "B", "calculation"), ("ID", "S", "ID", "direct_copy")]),
+    "no_prefix": ("INSERT INTO T SELECT x, z, name FROM (SELECT s.a AS x FROM S s) d JOIN (SELECT r.b AS z FROM R r) e ON x = z JOIN N n ON n.id = x",
+                  [("x", "S", "A", "direct_copy"), ("z", "R", "B", "direct_copy"), ("name", "N", "name", "direct_copy")]),
+    "not_there": ("INSERT INTO T SELECT d.nope FROM (SELECT s.a AS x FROM S s) d", [("NOPE", "", "NOPE", "direct_copy")]),
+    "one_name_twice": ("INSERT INTO T SELECT x.a FROM (SELECT x.b AS a FROM S x) x", [("A", "S", "B", "direct_copy")]),
+    "recursive": ("""WITH r AS (SELECT s.id, s.n AS n FROM S s UNION ALL SELECT s.id, r.n + 1 FROM S s JOIN r ON r.id = s.id)
+        INSERT INTO T SELECT r.n FROM r""", [("N", "S", "N", "direct_copy")]),
+    "function_calls": ("INSERT INTO T SELECT s.k, COALESCE(s.a, s.b) AS c FROM S s",
+                       [("K", "S", "K", "direct_copy"), ("C", "S", "A", "calculation"), ("C", "S", "B", "calculation")]),
+    "scalar_query": ("INSERT INTO T SELECT d.x, (SELECT MAX(m.y) FROM M m) AS top_y FROM (SELECT s.a AS x FROM S s) d",
+                     [("X", "S", "A", "direct_copy"), ("TOP_Y", "M", "Y", "aggregation")]),
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    out = {}
+    rows = R.column_mappings(R.lineage_records(make_scripts(spark, {k: text for k, (text, _) in CASES.items()})))
+    for r in sorted(rows.collect(), key=lambda r: r.seq):
+        out.setdefault(r.source_file, []).append((r.target_column, r.source_table, r.source_column, r.transformation_type))
+    return out
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_base_columns(found, name):
+    assert sorted(found[name]) == sorted(CASES[name][1])
