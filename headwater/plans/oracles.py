@@ -321,6 +321,10 @@ def oracle_sql() -> dict[str, str]:
     q["trace_cycles"] = _with(CYCLE_COLS, _out_chains("SELECT * FROM c"), recursive=True) + _CHAIN
     q["trace_tables"] = _with(TREE_COLS, _out_chains("SELECT * FROM c"), recursive=True) + """
       SELECT DISTINCT seed_table, seed_column, split_part(x, '.', 1) AS table_name FROM (SELECT st AS seed_table, sc AS seed_column, unnest(path) AS x FROM fin)"""
+    q["trace_graph"] = _with(CYCLE_COLS, """p AS (SELECT DISTINCT src_t AS st, src_c AS sc, src_t AS t, src_c AS col, 0 AS hop FROM c
+      UNION ALL SELECT st, sc, dst_t, dst_c, hop + 1 FROM p JOIN c ON p.t = c.src_t AND p.col = c.src_c WHERE hop <= 20)""", recursive=True) + """
+      SELECT st AS seed_table, sc AS seed_column, count(DISTINCT t || '.' || col) AS n_columns,
+        count(DISTINCT CASE WHEN hop <= 20 THEN t || '.' || col END) AS n_steps FROM p GROUP BY st, sc"""
     q["trace_inbound"] = _with(TREE_COLS, """p AS (SELECT DISTINCT dst_t AS st, dst_c AS sc, dst_t AS t, dst_c AS col, [dst_t || '.' || dst_c] AS path FROM c
       UNION ALL SELECT st, sc, src_t, src_c, list_append(path, src_t || '.' || src_c) FROM p JOIN c ON p.t = c.dst_t AND p.col = c.dst_c)""", recursive=True) + """
       SELECT st AS seed_table, sc AS seed_column, array_to_string(path, '|') AS chain, cast(len(path) AS bigint) AS n_steps, 'raw origin' AS note, true AS leaf FROM p WHERE t = 'P_0'"""

@@ -475,7 +475,17 @@ def trace_cycles(spark, d):
 
 def trace_tables(spark, d):
     ce = corpus.tree_columns(spark, d)
-    return C.trace_tables(C.trace_outbound(ce, _ends(ce, "src")))
+    return C.graph_tables(C.outbound_graph(ce, _ends(ce, "src"))[0])
+
+
+def trace_graph(spark, d):
+    """Columns and steps in reach of every column of the cycles; tables that the graph does not hold have none."""
+    ce = corpus.cycle_columns(spark, d)
+    absent = corpus.table(spark, d, "nation").select(F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string")).alias("table"), F.lit("C_0").alias("column"))
+    tables = ce.select(F.explode(F.array("src_table", "dst_table")).alias("id")).distinct()
+    nodes, steps = C.outbound_graph(ce, _ends(ce, "src").unionByName(absent), tables=tables)
+    count = lambda df, name: df.groupBy("seed_table", "seed_column").agg(F.count(F.lit(1)).alias(name))
+    return count(nodes, "n_columns").join(count(steps, "n_steps"), ["seed_table", "seed_column"])
 
 
 # Incremental
@@ -533,7 +543,7 @@ ALL = [
     ddl_primary_keys, catalogue_latest, ddl_tables_found, catalogue_digest, edges, nodes, nodes_enriched, edge_merge,
     column_edges, graph_degrees, node_kinds, graph_stats, graph_export, all_tables, raw_tables, upstream, downstream,
     upstream_flow, downstream_cycles, lineage_both, lineage_tree, lineage_attributes, column_incoming, column_outgoing,
-    trace_inbound, trace_inbound_scripts, trace_outbound, trace_cycles, trace_tables, tracker_upsert, tracker_roundtrip,
+    trace_inbound, trace_inbound_scripts, trace_outbound, trace_cycles, trace_tables, trace_graph, tracker_upsert, tracker_roundtrip,
     tracker_counts, pending_scripts, pending_ddl, merge_results, stream_ingest,
 ]
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from headwater.functions.skew import hot_keys, salted_join
 from headwater.operators import graph as G
@@ -161,3 +162,42 @@ def test_depth_limit(spark):
     seeds = spark.createDataFrame([("T0", "c")], "table STRING, column STRING")
     row = C.trace_outbound(ce, seeds, max_depth=3).first()
     assert [s.table for s in row.steps] == ["T0", "T1", "T2", "T3", "T4"] and "max depth" in row.steps[-1].note
+
+
+COLUMN_EDGES = "src_table STRING, src_col STRING, dst_table STRING, dst_col STRING, type STRING"
+
+
+def test_trace_graph_has_what_the_chains_run_over(spark):
+    ce = spark.createDataFrame([(*c, "direct_copy") for c in COLS], COLUMN_EDGES)
+    seeds = spark.createDataFrame([("A", "x"), ("B", "y"), ("C", "k"), ("B", "none")], "table STRING, column STRING")
+    raw = spark.createDataFrame([("R",)], "id STRING")
+    for hot_rows in (100, 1):
+        pairs = [(C.trace_outbound(ce, seeds), C.outbound_graph(ce, seeds, hot_rows=hot_rows)),
+                 (C.trace_inbound(ce, seeds, raw), C.inbound_graph(ce, seeds, raw, hot_rows=hot_rows))]
+        for chains, (nodes, steps) in pairs:
+            listed = {(r.seed_table, r.seed_column): set() for r in chains.collect()}
+            arcs = set()
+            for r in chains.collect():
+                path = r.chain.split("|")
+                listed[r.seed_table, r.seed_column] |= set(path)
+                arcs |= {(r.seed_table, r.seed_column, a, b) for a, b in zip(path, path[1:])}
+            found = {}
+            for r in nodes.collect():
+                found.setdefault((r.seed_table, r.seed_column), set()).add(f"{r.table}.{r.column}")
+            assert found == listed
+            assert {(r.seed_table, r.seed_column, f"{r.at_table}.{r.at_col}", f"{r.to_table}.{r.to_col}") for r in steps.collect()} == arcs
+            assert set(C.graph_tables(nodes).collect()) == set(C.trace_tables(chains).collect())
+
+
+def test_trace_graph_of_diamonds_does_not_multiply(spark):
+    """Twelve diamonds in a row: 4096 chains, 37 columns, 48 steps."""
+    rows = [(f"T{i}", "c", f"{side}{i}", "c", "direct_copy") for i in range(12) for side in "LR"]
+    rows += [(f"{side}{i}", "c", f"T{i + 1}", "c", "direct_copy") for i in range(12) for side in "LR"]
+    ce = spark.createDataFrame(rows, COLUMN_EDGES)
+    seeds = spark.createDataFrame([("T0", "c"), ("elsewhere", "c")], "table STRING, column STRING")
+    tables = ce.select(F.explode(F.array("src_table", "dst_table")).alias("id"))
+    nodes, steps = C.outbound_graph(ce, seeds, max_depth=40, tables=tables)
+    assert (nodes.count(), steps.count()) == (37, 48)
+    assert {r.hop for r in nodes.filter("table = 'T12'").collect()} == {24}
+    nodes, steps = C.outbound_graph(ce, seeds, max_depth=3)
+    assert {r.table for r in nodes.collect()} == {"T0", "L0", "R0", "T1", "L1", "R1", "T2", "ELSEWHERE"} and steps.count() == 8
