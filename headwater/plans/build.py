@@ -27,9 +27,12 @@ class Run:
     tracker: DataFrame
 
 
-def candidates(scripts: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """Records of every extractor with (path, method, error): text rules, then recorded answers."""
-    found = R.extract_lineage(scripts).withColumnRenamed("extraction_method", "method")
+def candidates(scripts: DataFrame, answers: DataFrame | None = None, primary_only: bool = True) -> DataFrame:
+    """Records of every extractor with (path, method, error): text rules, then recorded answers.
+
+    With primary_only=False the text rules give a record per statement.
+    """
+    found = R.extract_lineage(scripts, primary_only).withColumnRenamed("extraction_method", "method")
     rows = found.withColumn("error", F.col("failure")).drop("failure", "stmt_no")
     if answers is None:
         return rows
@@ -57,8 +60,11 @@ def candidates(scripts: DataFrame, answers: DataFrame | None = None) -> DataFram
 def analyse(scripts: DataFrame, ddl: DataFrame, tracker: DataFrame, overrides: DataFrame, prefer_model: str,
             available: list[str], processed_at: str, answers: DataFrame | None = None,
             stored: DataFrame | None = None, stored_catalogue: DataFrame | None = None,
-            timestamp: Column | None = None) -> Run:
-    """Extract what the tracker does not know yet and merge it with the stored results."""
+            timestamp: Column | None = None, primary_only: bool = True) -> Run:
+    """Extract what the tracker does not know yet and merge it with the stored results.
+
+    A script gives one record, of the statement that drives lineage; with primary_only=False one per statement.
+    """
     todo = I.pending(scripts, tracker, I.SCRIPT)
     new_ddl = I.pending(ddl, tracker, I.SCHEMA)
     found_tables = K.tables(new_ddl)
@@ -68,7 +74,7 @@ def analyse(scripts: DataFrame, ddl: DataFrame, tracker: DataFrame, overrides: D
     # One scan for the measures and the excerpts, one for the extraction.
     scored = materialise(M.score(M.signals(todo, snippet(F.col("txt")).alias("sp_snippet"))), "scored")
     routed = M.route(M.recommend(scored, prefer_model), overrides)
-    found = materialise(candidates(todo, answers), "candidates")
+    found = materialise(candidates(todo, answers, primary_only), "candidates")
     winners, failed = M.waterfall(M.attempts(routed, available), found)
     winners, failed = materialise(winners, "winners"), materialise(failed, "failed")
     won = found.filter("error is null").join(winners.select("path", "method"), ["path", "method"]).drop("error")

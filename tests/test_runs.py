@@ -142,6 +142,10 @@ def test_incremental_run_equals_full_run(spark, tmp):
     assert [f.source_file for f in failed] == ["d.sql"] and failed[0].step1_error == "no_primary" and failed[0].sp_snippet == "MERGE"
     assert failed[0].step3_error.startswith("Skipped")
 
+    twice = make_scripts(spark, {"two.sql": "INSERT INTO A SELECT s.x FROM S1 s; INSERT INTO B SELECT s.x, s.y FROM S2 s;"})
+    each = build.analyse(twice, ddl, empty, overrides(spark), "claude", ["regex"], "2024", timestamp=F.lit("2024"), primary_only=False)
+    assert {(r.target_table, *r.source_tables) for r in each.records.collect()} == {("A", "S1"), ("B", "S2")}
+
     one = run(["a.sql"], empty, None, None)
     files.write_store(one.records, one.catalogue, f"{tmp}/store")
     files.write_tracker(one.tracker, f"{tmp}/tracker")

@@ -1,0 +1,80 @@
+"""Comments: scanned to any depth, and only where they are comments."""
+
+import random
+
+import pytest
+from conftest import make_scripts
+from pyspark.sql import functions as F
+
+from headwater.operators import records as R
+from headwater.operators import tokens as T
+
+
+def plain(text):
+    """The text without block comments, one character after the other."""
+    out, at, mode, depth = [], 0, "", 0
+    while at < len(text):
+        two, one = text[at:at + 2], text[at]
+        if mode == "/*":
+            if two == "/*":
+                depth, at = depth + 1, at + 2
+            elif two == "*/":
+                depth, at = depth - 1, at + 2
+                if depth == 0:
+                    mode = ""
+                    out.append(" ")
+            else:
+                at += 1
+            continue
+        if mode == "" and two == "/*":
+            mode, depth, at = "/*", 1, at + 2
+            continue
+        if mode == "" and two == "--":
+            mode, at = "--", at + 2
+            out.append(two)
+            continue
+        if mode == "" and one in "'\"[":
+            mode = one
+        elif (mode == "--" and one == "\n") or (mode == "[" and one == "]") or (mode in "'\"" and mode and one == mode):
+            mode = ""
+        out.append(one)
+        at += 1
+    return "".join(out)
+
+
+def scanned(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i INT, txt STRING")
+    return [r.x for r in rows.select("i", T.without_block_comments(F.col("txt")).alias("x")).orderBy("i").collect()]
+
+
+def test_scan_against_a_plain_scan(spark):
+    rng = random.Random(5)
+    parts = ["/*", "*/", "'", '"', "[", "]", "--", "\n", "a", " ", "-", "*", "/", "é", "😀"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(400)]
+    # A comment without an end leaves nothing behind, not even a blank.
+    assert [x.rstrip(" ") for x in scanned(spark, texts)] == [plain(t).rstrip(" ") for t in texts]
+
+
+def nested(levels, inside):
+    return "".join(f"/* it's level {i} [ " for i in range(levels)) + inside + " */" * levels
+
+
+CASES = {
+    "deep": nested(40, "INSERT INTO FAKE SELECT z.q FROM FAKE2 z") + " INSERT INTO T SELECT s.a FROM S s",
+    "between": "INSERT INTO T " + nested(25, "") + " SELECT s.a, " + nested(40, "FROM FAKE") + " s.b FROM S s",
+    "in_literals": "INSERT INTO T SELECT '/* ' AS x, s.[/*] AS y, '*/ */' AS z FROM S s -- /* not open\n WHERE s.a = 1",
+    "no_end": "INSERT INTO T SELECT s.a FROM S s /* open /* twice */ INSERT INTO FAKE SELECT z.q FROM FAKE2 z",
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    return {r.source_file: r for r in R.extract_lineage(make_scripts(spark, CASES)).collect()}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_comments_yield_no_facts(found, name):
+    r = found[name]
+    assert (r.failure, r.target_table, r.source_tables) == (None, "T", ["S"])
+    columns = {"deep": ["A"], "between": ["A", "B"], "in_literals": ["X", "Y", "Z"], "no_end": ["A"]}[name]
+    assert [m.target_column for m in r.column_mappings] == columns
