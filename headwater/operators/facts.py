@@ -41,7 +41,7 @@ _PAREN_CLAUSES = {"INSCOLS": INSERT_COLUMN, "VALS": VALUE}
 
 DEFINITION = (
     "STRUCT<what: STRING, pos: INT, table: STRING, alias: STRING, open_pos: INT, "
-    "use: STRING, join_pos: INT, side: STRING, list_pos: INT>"
+    "use: STRING, join_pos: INT, side: STRING, list_pos: INT, full: STRING>"
 )
 
 
@@ -160,13 +160,19 @@ def _definition() -> Column:
         .when((what == "D") & (op["b1"] == "JOIN"), op["bpos"])
         .when((what == "F") & (op["intro"] == "JOIN"), op["intro_pos"])
         .when(what == "N", F.col("jn.pos")))
+    # Up to three parts of a table's name, the last of which this token is; `DB..T` keeps its empty schema.
+    b1, b2, b3, b4 = (F.col(f"b{i}") for i in range(1, 5))
+    part = lambda c: F.when(c == ".", "").otherwise(F.upper(unquote(c)))
+    schema = F.when(b1 == ".", part(b2))
+    database = F.when(b1 == ".", F.when(b2 == ".", part(b3)).when(b3 == ".", part(b4)))
+    full = F.when(what == "T", F.concat_ws(".", database, schema, table_key(F.col("tok"))))
     use = F.when(what == "T", F.when(intro.isin("INTO", "MERGE", "UPDATE", "INSERT"), "target").otherwise("source"))
     return F.when(what.isNotNull(), F.struct(
         what.alias("what"), F.col("pos").alias("pos"), F.when(name.isNotNull(), table_key(name)).alias("table"),
         F.when(named, F.lower(unquote(word))).alias("alias"),
         F.when(what.isin("D", "C", "F"), op["pos"]).alias("open_pos"), use.alias("use"),
         join_pos.alias("join_pos"), F.when(what == "N", F.col("jn.side")).alias("side"),
-        F.when((what == "C") & (op["b2"] == ")"), op["prev_pos"]).alias("list_pos"))).cast(DEFINITION)
+        F.when((what == "C") & (op["b2"] == ")"), op["prev_pos"]).alias("list_pos"), full.alias("full"))).cast(DEFINITION)
 
 
 def _piece() -> Column:

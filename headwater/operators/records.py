@@ -32,6 +32,12 @@ def _base_tables(tables: Column, ctes: Column) -> Column:
         tables, lambda t: F.coalesce(_lookup(ctes, t["table"]), F.array(t["table"])))))
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """Whether two names of up to three parts cannot be one table; a shorter one may be the end of a longer one."""
+    ends = lambda x, y: F.concat(F.lit("."), x).endswith(F.concat(F.lit("."), y))
+    return ~(ends(a, b) | ends(b, a) | a.contains("..") | b.contains(".."))
+
+
 def _statement_scope(rows: DataFrame) -> DataFrame:
     """Per statement: target, source tables, alias entries, joins and the items to resolve."""
     is_def = F.col("def").isNotNull()
@@ -44,8 +50,8 @@ def _statement_scope(rows: DataFrame) -> DataFrame:
         "*",
         F.filter(defs, lambda d: (d["what"] == "T") & (d["use"] == "source")).alias("tabs"),
         F.filter(defs, lambda d: d["what"] == "C").alias("cte_defs"),
-        F.try_element_at(F.filter(defs, lambda d: (d["what"] == "T") & (d["use"] == "target")), F.lit(1))["table"].alias("target_name"),
-    )
+        F.try_element_at(F.filter(defs, lambda d: (d["what"] == "T") & (d["use"] == "target")), F.lit(1)).alias("target_def"),
+    ).withColumn("target_name", F.col("target_def.table"))
     # A CTE sees those defined before it, so one pass in text order expands chains of them.
     ctes = F.aggregate(
         "cte_defs", F.array().cast(_NAMED),
@@ -69,7 +75,10 @@ def _statement_scope(rows: DataFrame) -> DataFrame:
     target = F.when(F.col("kind") == "UPDATE", F.coalesce(
         first(_lookup(F.col("aliases"), F.lower("target_name"))), F.col("target_name"))).otherwise(F.col("target_name"))
     rows = rows.withColumn("target_table", target)
-    real = lambda n: (n != "") & ~n.rlike("^[#@]") & ~n.eqNullSafe(F.col("target_table"))
+    # The target itself is no source of its own, but a table of its name in another schema or database is.
+    names_other = F.exists("tabs", lambda t: (t["table"] == F.col("target_table")) & _differ(t["full"], F.col("target_def.full")))
+    rows = rows.withColumn("other_target", F.coalesce((F.col("target_table") == F.col("target_name")) & names_other, F.lit(False)))
+    real = lambda n: (n != "") & ~n.rlike("^[#@]") & (F.col("other_target") | ~n.eqNullSafe(F.col("target_table")))
     right = lambda n: F.try_element_at(
         F.filter(F.col("defs"), lambda d: (d["what"] != "N") & (d["join_pos"] == n["join_pos"])), F.lit(1))
     resolved = lambda d: F.coalesce(
@@ -83,6 +92,10 @@ def _statement_scope(rows: DataFrame) -> DataFrame:
     return rows.select(
         *KEY, "kind", "target_table", "aliases", "items", "scopes", scopes.uses(defs, F.col("scopes")).alias("uses"), lists.alias("lists"),
         F.array_sort(F.filter(_base_tables(F.col("tabs"), F.col("ctes")), real)).alias("source_tables"),
+        F.coalesce("target_def.full", "target_table").alias("target_full"),
+        F.transform("tabs", lambda t: F.struct(t["table"].alias("table"), F.when(
+            F.coalesce((t["table"] != F.col("target_table")) | ~F.col("other_target") | _differ(t["full"], F.col("target_def.full")), F.lit(True)),
+            t["full"]).alias("full"))).alias("names"),
         first(_base_tables(F.slice("tabs", 1, 1), F.col("ctes"))).alias("left_table"),
         F.transform(F.filter(defs, lambda d: d["what"] == "N"), lambda n: F.struct(
             n["join_pos"].alias("at"), n["side"].alias("join_type"), resolved(right(n)).alias("right_table"))).alias("join_defs"),
@@ -214,6 +227,7 @@ def statement_facts(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     of_scope = F.struct("scope", "at", "item_no", F.upper(F.coalesce(_label(), simple)).alias("name"), "refs", "type", F.col("raw_text").alias("raw"))
     rows = rows.groupBy(*KEY, "kind", "target_table", "left_table").agg(
         F.first("source_tables").alias("source_tables"), F.first("aliases").alias("aliases"),
+        F.first("target_full").alias("target_full"), F.first("names").alias("found_names"),
         F.first("scopes").alias("scopes"), F.first("uses").alias("uses"), F.first("lists").alias("lists"),
         F.first("join_defs").alias("join_defs"), F.first("first_select").alias("first_select"),
         F.array_sort(F.collect_list(F.when(usable, F.struct(
@@ -246,8 +260,14 @@ def statement_facts(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     branch = lambda x: F.when(x["at"] <= F.col("first_select"), x["m"]).otherwise(F.transform(
         x["m"], lambda m: m.withField("target_column", F.coalesce(name_of(x), m["target_column"]))))
     later = F.exists("mapped", lambda x: x["at"] > F.col("first_select"))
+    # Of the names a source was read by, the one of most characters, then the first in order.
+    longest = lambda n: F.coalesce(F.array_min(F.transform(
+        F.filter("found_names", lambda t: (t["table"] == n) & t["full"].isNotNull()),
+        lambda t: F.struct((-F.length(t["full"])).alias("l"), t["full"].alias("full"))))["full"], n)
+    qualified = F.when(F.col("target_full").endswith(F.col("target_table")), F.col("target_full")).otherwise(F.col("target_table"))
     return rows.select(
-        *KEY, "kind", "target_table", "source_tables", "aliases",
+        *KEY, "kind", "target_table", qualified.alias("target_table_qualified"), "source_tables",
+        F.transform("source_tables", longest).alias("source_tables_qualified"), "aliases",
         F.flatten(F.when(later, F.transform("mapped", branch)).otherwise(F.transform("mapped", lambda x: x["m"]))).cast(f"ARRAY<{MAPPING}>").alias("column_mappings"),
         F.transform("join_defs", lambda n: F.struct(
             F.coalesce("left_table", F.lit("")).alias("left_table"), F.coalesce("left_table", F.lit("")).alias("left_table_qualified"),
@@ -288,8 +308,7 @@ def extract_lineage(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     )
     return rows.select(
         "path", "source_file", "stmt_no", "procedure_name", "target_table",
-        F.col("target_table").alias("target_table_qualified"), "source_tables",
-        F.col("source_tables").alias("source_tables_qualified"),
+        "target_table_qualified", "source_tables", "source_tables_qualified",
         _first_of_each(F.col("column_mappings")).alias("column_mappings"), "joins",
         F.transform("filters", lambda x: x["text"]).alias("filters"),
         F.transform("grouping", lambda x: x["text"]).alias("grouping"),
@@ -302,17 +321,19 @@ def lineage_records(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
     return extract_lineage(scripts, primary_only).filter("failure is null").drop("failure", "stmt_no")
 
 
-def normalise(records: DataFrame) -> DataFrame:
-    """Reduce table names to their identity; the names found stay in the *_qualified fields."""
+def normalise(records: DataFrame, keep_qualified: bool = False) -> DataFrame:
+    """Reduce table names to their identity. The *_qualified fields take the names of the record, or, with `keep_qualified`,
+    stay what the extraction found: up to three parts of target and sources."""
     named = lambda c: F.coalesce(table_key(c), F.lit(""))
     mapping = lambda m: m.withField("source_table_qualified", m["source_table"]).withField(
         "source_table", named(m["source_table"]))
     join = lambda j: (
         j.withField("left_table_qualified", j["left_table"]).withField("right_table_qualified", j["right_table"])
         .withField("left_table", named(j["left_table"])).withField("right_table", named(j["right_table"])))
+    found = lambda full, name: F.coalesce(F.col(full), F.col(name)) if keep_qualified else F.col(name)
     return records.withColumns({
-        "target_table_qualified": F.col("target_table"), "target_table": table_key(F.col("target_table")),
-        "source_tables_qualified": F.col("source_tables"),
+        "target_table_qualified": found("target_table_qualified", "target_table"), "target_table": table_key(F.col("target_table")),
+        "source_tables_qualified": found("source_tables_qualified", "source_tables"),
         "source_tables": F.transform("source_tables", table_key),
         "column_mappings": F.transform("column_mappings", mapping), "joins": F.transform("joins", join),
     })

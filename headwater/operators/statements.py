@@ -57,7 +57,7 @@ def statement_tokens(scripts: DataFrame) -> DataFrame:
     to = lambda n: F.coalesce(F.lead("tok", n).over(_text_order()), F.lit(""))
     next_raw = F.lead("raw", 1).over(_text_order())
     rows = rows.select(
-        "*", at(1).alias("b1"), at(2).alias("b2"), at(3).alias("b3"), to(1).alias("a1"), to(2).alias("a2"),
+        "*", at(1).alias("b1"), at(2).alias("b2"), at(3).alias("b3"), at(4).alias("b4"), to(1).alias("a1"), to(2).alias("a2"),
         to(3).alias("a3"), F.lag("pos", 1).over(_text_order()).alias("bpos"),
         (
             (F.col("utok") == "GO")
@@ -184,7 +184,7 @@ def lineage_tokens(scripts: DataFrame, primary_only: bool = True) -> DataFrame:
         rows = rows.filter("kind is not null")
     return rows.select(
         "path", "stmt_no", "kind", "pos", "raw", "tok", "utok", "ident", "depth", "case_depth",
-        "b1", "b2", "bpos", "a1", "a2", "name_start", "lead_in", "lead_in_before",
+        "b1", "b2", "b3", "b4", "bpos", "a1", "a2", "name_start", "lead_in", "lead_in_before",
     )
 
 

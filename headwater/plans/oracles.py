@@ -230,6 +230,8 @@ def oracle_sql() -> dict[str, str]:
         t="CASE WHEN m = 8 THEN '' ELSE tgt END", s=f"CASE WHEN m = 8 THEN '' ELSE {csv} END") + \
         ", CASE WHEN m = 8 THEN 'no_primary' ELSE '' END AS failure FROM s LEFT JOIN cnt USING (m)"
     q["lineage_normalised"] = _with(S, COUNTS) + "SELECT " + summary.format(t="tgt", s=csv) + " FROM s JOIN cnt USING (m)"
+    q["lineage_qualified"] = _with(S) + """SELECT source_file, tgt AS target_table, 'DW.DBO.' || tgt AS target_table_qualified,
+      CASE WHEN m = 1 OR m = 6 THEN 'DW.DBO.' || dim || ',' ELSE '' END || 'ODS.DBO.' || feed AS sources_csv FROM s WHERE m <> 8"""
     q["statement_records"] = _with(S) + f"SELECT source_file, tgt AS target_table, {csv} AS sources_csv FROM s WHERE m <> 8"
 
     count = lambda rx: f"len(regexp_extract_all(txt, '{rx}'))"

@@ -211,6 +211,13 @@ def lineage_normalised(spark, d):
     return _summary(_records(spark, d))
 
 
+def lineage_qualified(spark, d):
+    """Records with target and sources by their whole names."""
+    found = _extracted(spark, d).filter("failure is null").drop("failure", "stmt_no")
+    return R.normalise(found, keep_qualified=True).select(
+        "source_file", "target_table", "target_table_qualified", _csv(F.col("source_tables_qualified")).alias("sources_csv"))
+
+
 def statement_records(spark, d):
     """One record per statement that yields lineage, not only the primary one."""
     rows = R.extract_lineage(corpus.scripts(spark, d), primary_only=False)
@@ -537,7 +544,7 @@ def stream_ingest(spark, d):
 ALL = [
     scan_scripts, scan_ddl, store_roundtrip, norm_table, strip_brackets, split_qualified, classify_expr, resolve_alias,
     clean_scripts, split_commas, split_predicates, clause_bounds, statements, primary_stmt, procedure_names, target_tables,
-    source_tables, alias_map, column_mappings, column_origins, join_facts, filter_facts, grouping_facts, lineage_records, lineage_normalised,
+    source_tables, alias_map, column_mappings, column_origins, join_facts, filter_facts, grouping_facts, lineage_records, lineage_normalised, lineage_qualified,
     statement_records, complexity_signals, complexity_score, complexity_reasons, overrides_valid, overrides_merged,
     route_methods, route_counts, attempt_plan, waterfall, run_summary, failures_log, responses_parse, ddl_tables, ddl_columns,
     ddl_primary_keys, catalogue_latest, ddl_tables_found, catalogue_digest, edges, nodes, nodes_enriched, edge_merge,

@@ -51,3 +51,24 @@ def found(spark):
 @pytest.mark.parametrize("name", CASES)
 def test_base_columns(found, name):
     assert sorted(found[name]) == sorted(CASES[name][1])
+
+
+NAMES = {
+    "other_schema": "INSERT INTO DW.dbo.CUSTOMERS SELECT s.a FROM ODS.dbo.CUSTOMERS s",
+    "itself": "INSERT INTO DW.dbo.T SELECT s.a FROM dbo.T s JOIN [x y].U u ON u.id = s.id",
+    "both": "INSERT INTO T SELECT s.a FROM db..T s JOIN srv.db.sch.U u ON u.id = s.id",
+    "update": "UPDATE t SET t.v = s.v FROM dbo.Tgt t JOIN stg.Src s ON t.id = s.id",
+}
+
+
+def test_whole_names(spark):
+    rows = R.extract_lineage(make_scripts(spark, NAMES))
+    found = {r.source_file: (r.failure, r.target_table, r.target_table_qualified, r.source_tables, r.source_tables_qualified) for r in rows.collect()}
+    assert found == {
+        "other_schema": (None, "CUSTOMERS", "DW.DBO.CUSTOMERS", ["CUSTOMERS"], ["ODS.DBO.CUSTOMERS"]),
+        "itself": (None, "T", "DW.DBO.T", ["U"], ["X Y.U"]),
+        "both": (None, "T", "T", ["U"], ["DB.SCH.U"]),
+        "update": (None, "TGT", "TGT", ["SRC"], ["STG.SRC"]),
+    }
+    kept = R.normalise(rows.filter("failure is null").drop("failure", "stmt_no"), keep_qualified=True)
+    assert {r.target_table_qualified for r in kept.collect()} == {"DW.DBO.CUSTOMERS", "DW.DBO.T", "T", "TGT"}
