@@ -10,13 +10,18 @@ from ..functions.shared import materialise
 from ..functions.skew import hot_keys, salted_join
 
 
-def _reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str, hot_rows: int) -> DataFrame:
-    """(seed, node, hop, via): nodes within `depth` hops; `via` is the smallest neighbour that led there."""
+def _reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str, hot_rows: int, tables: DataFrame | None) -> DataFrame:
+    """(seed, node, hop, via): nodes within `depth` hops; `via` is the smallest neighbour that led there.
+
+    Seeds are tables of an edge or of `tables(id)`, so that one without edges reaches itself; others reach nothing.
+    """
     if depth < 0 or direction not in ("upstream", "downstream"):
         raise ValueError("depth must not be negative; direction is upstream or downstream")
     near, far = ("dst", "src") if direction == "upstream" else ("src", "dst")
     step = edges.filter("src <> dst").select(F.col(near).alias("at"), F.col(far).alias("node")).distinct()
     known = edges.select(F.explode(F.array("src", "dst")).alias("seed")).distinct()
+    if tables is not None:
+        known = known.unionByName(tables.select(F.col("id").alias("seed"))).distinct()
     starts = seeds.select(table_key(F.col("seed")).alias("seed")).distinct().join(known, "seed", "left_semi")
     step = materialise(step, "steps")
     hot = hot_keys(step, ["at"], min_rows=hot_rows)
@@ -37,33 +42,38 @@ def _reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str, hot_r
     return found
 
 
-def upstream(edges: DataFrame, seeds: DataFrame, depth: int = 5, hot_rows: int = 100_000) -> DataFrame:
-    return _reach(edges, seeds, depth, "upstream", hot_rows)
+def upstream(edges: DataFrame, seeds: DataFrame, depth: int = 5, hot_rows: int = 100_000, tables: DataFrame | None = None) -> DataFrame:
+    return _reach(edges, seeds, depth, "upstream", hot_rows, tables)
+
 
+def downstream(edges: DataFrame, seeds: DataFrame, depth: int = 5, hot_rows: int = 100_000, tables: DataFrame | None = None) -> DataFrame:
+    return _reach(edges, seeds, depth, "downstream", hot_rows, tables)
 
-def downstream(edges: DataFrame, seeds: DataFrame, depth: int = 5, hot_rows: int = 100_000) -> DataFrame:
-    return _reach(edges, seeds, depth, "downstream", hot_rows)
 
+def reach_edges(edges: DataFrame, reach: DataFrame, direction: str, edges_kept: str = "induced", hot_rows: int = 100_000) -> DataFrame:
+    """Edges of a reach: all between its nodes, or only the discovery edge of each node ("tree").
 
-def reach_edges(edges: DataFrame, reach: DataFrame, direction: str, edges_kept: str = "induced") -> DataFrame:
-    """Edges of a reach: all between its nodes, or only the discovery edge of each node ("tree")."""
+    The edges of a table that holds a large share of them are spread over tasks.
+    """
     if edges_kept == "tree":
         src, dst = ("node", "via") if direction == "upstream" else ("via", "node")
         return reach.filter("hop > 0").select("seed", F.col(src).alias("src"), F.col(dst).alias("dst"))
-    pairs = reach.select("seed", F.col("node").alias("src")).join(edges.filter("src <> dst").select("src", "dst").distinct(), "src")
+    step = materialise(edges.filter("src <> dst").select("src", "dst").distinct(), "steps")
+    pairs = salted_join(reach.select("seed", F.col("node").alias("src")), step, ["src"], hot_keys(step, ["src"], min_rows=hot_rows))
     return pairs.join(reach.select("seed", F.col("node").alias("dst")), ["seed", "dst"]).select("seed", "src", "dst")
 
 
-def lineage(edges: DataFrame, seeds: DataFrame, depth: int = 5, edges_kept: str = "induced") -> tuple[DataFrame, DataFrame]:
+def lineage(edges: DataFrame, seeds: DataFrame, depth: int = 5, edges_kept: str = "induced", hot_rows: int = 100_000,
+            tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (seed, node, hop; upstream hops are negative) and edges in both directions."""
-    up, down = upstream(edges, seeds, depth), downstream(edges, seeds, depth)
+    up, down = upstream(edges, seeds, depth, hot_rows, tables), downstream(edges, seeds, depth, hot_rows, tables)
     nodes = (
         up.select("seed", "node", (-F.col("hop")).alias("hop"))
         .unionByName(down.select("seed", "node", "hop"))
         .groupBy("seed", "node").agg(F.min_by("hop", F.struct(F.abs("hop"), "hop")).alias("hop"))
     )
-    both = reach_edges(edges, up, "upstream", edges_kept).unionByName(
-        reach_edges(edges, down, "downstream", edges_kept)).distinct()
+    both = reach_edges(edges, up, "upstream", edges_kept, hot_rows).unionByName(
+        reach_edges(edges, down, "downstream", edges_kept, hot_rows)).distinct()
     return nodes, both
 
 

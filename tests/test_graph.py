@@ -201,3 +201,22 @@ def test_trace_graph_of_diamonds_does_not_multiply(spark):
     assert {r.hop for r in nodes.filter("table = 'T12'").collect()} == {24}
     nodes, steps = C.outbound_graph(ce, seeds, max_depth=3)
     assert {r.table for r in nodes.collect()} == {"T0", "L0", "R0", "T1", "L1", "R1", "T2", "ELSEWHERE"} and steps.count() == 8
+
+
+def test_start_tables_without_edges(spark):
+    edges = spark.createDataFrame([("A", "B"), ("B", "C"), ("H", "A")], "src STRING, dst STRING")
+    seeds = spark.createDataFrame([("b",), ("alone",), ("unknown",)], "seed STRING")
+    tables = spark.createDataFrame([(t,) for t in ("A", "B", "C", "H", "ALONE")], "id STRING")
+    nodes, kept = B.lineage(edges, seeds, tables=tables)
+    assert {tuple(r) for r in nodes.collect()} == {("B", "B", 0), ("B", "A", -1), ("B", "H", -2), ("B", "C", 1), ("ALONE", "ALONE", 0)}
+    assert {tuple(r) for r in kept.collect()} == {("B", "A", "B"), ("B", "H", "A"), ("B", "B", "C")}
+    assert {r.seed for r in B.upstream(edges, seeds).collect()} == {"B"}
+
+
+def test_edges_of_a_hub_are_spread(spark):
+    edges = spark.createDataFrame([("HUB", f"T{i}") for i in range(300)] + [(f"T{i}", "END") for i in range(40)] + [("S", "HUB")], "src STRING, dst STRING")
+    seeds = spark.createDataFrame([("S",), ("END",)], "seed STRING")
+    plain, spread = (B.lineage(edges, seeds, depth=3, hot_rows=n) for n in (10_000, 50))
+    for a, b in zip(plain, spread):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert plain[1].filter("seed = 'S'").count() == 341
