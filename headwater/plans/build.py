@@ -83,7 +83,7 @@ def analyse(scripts: DataFrame, ddl: DataFrame, tracker: DataFrame, overrides: D
         K.tables_found(new_ddl, found_tables).select(
             F.lit(I.SCHEMA).alias("kind"), "source_file", F.lit("success").alias("status"),
             F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("target_table"),
-            "tables_found", F.lit(processed_at).alias("processed_at")))
+            "tables_found", F.lit(processed_at).alias("processed_at"), "path"))
     if stored is not None:
         records = I.merge_results(records, stored.select(*records.columns))
     return Run(records, M.failure_records(failed, scored, timestamp), catalogue, I.upsert(tracker, outcomes))

@@ -35,6 +35,10 @@ TRACKER = (
     "kind STRING, source_file STRING, status STRING, method STRING, target_table STRING, "
     "tables_found BIGINT, processed_at STRING"
 )
+# Outcomes of this library's runs also know the path: names repeat across folders.
+TRACKED = f"{TRACKER}, path STRING"
+# Script files as last read.
+FILES = "path STRING, source_file STRING, modified TIMESTAMP, length BIGINT, digest STRING"
 FAILURES = (
     "timestamp STRING, source_file STRING, failure_reason STRING, step1_error STRING, "
     "step2_error STRING, step3_error STRING, step4_error STRING, sp_snippet STRING"

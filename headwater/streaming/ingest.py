@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.records import extract_lineage
+from ..plans.keep import save_scripts
 from ..sources.files import _shaped
 
 
@@ -29,6 +30,23 @@ def ingest(scripts: DataFrame, out: str, checkpoint: str, available_now: bool =
     def write(batch: DataFrame, batch_id: int) -> None:
         extract_lineage(batch, primary_only=primary_only).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    return _start(scripts, write, checkpoint, available_now)
+
+
+def ingest_store(scripts: DataFrame, root: str, checkpoint: str, available_now: bool = True, primary_only: bool = True) -> StreamingQuery:
+    """Extract each batch and commit it to the store at `root`, where `files.read_store` reads it.
+
+    A batch is committed once under the name of its checkpoint, so one repeated after a failure changes nothing. A file
+    whose text the store holds is not extracted again; other text replaces its records. The file stream gives a path
+    once: edits of files it has given, and removals, come in by `plans.keep.refresh` on the same store.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        save_scripts(batch.sparkSession, batch, root, primary_only, writer=checkpoint, batch=batch_id)
+
+    return _start(scripts, write, checkpoint, available_now)
+
+
+def _start(scripts: DataFrame, write, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = scripts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
