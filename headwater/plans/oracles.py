@@ -147,6 +147,13 @@ TRACK = """done AS (SELECT 'sp' AS kind, 'sp_' || (o_orderkey % n) || '.sql' AS
     QUALIFY row_number() OVER (PARTITION BY kind, source_file ORDER BY o_orderdate DESC, o_orderstatus DESC) = 1)"""
 
 
+# The same by path, each file name in two folders.
+FOLDER_TRACK = """fs AS (SELECT s.*, folder || source_file AS path FROM s, (VALUES ('a/'), ('b/')) f(folder)),
+  ftr AS (SELECT path, o_orderstatus FROM (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'a/' ELSE 'b/' END || 'sp_' || (o_orderkey % n) || '.sql' AS path,
+      o_orderstatus, o_orderdate FROM orders, (SELECT count(*) AS n FROM part)) WHERE o_orderstatus IN ('F', 'O')
+    QUALIFY row_number() OVER (PARTITION BY path ORDER BY o_orderdate DESC, o_orderstatus DESC) = 1)"""
+
+
 def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
@@ -351,4 +358,16 @@ def oracle_sql() -> dict[str, str]:
     q["merge_results"] = _with(S, TRACK) + """SELECT source_file, tgt AS target_table, CASE WHEN source_file IN (SELECT source_file FROM tr WHERE kind = 'sp' AND status = 'success')
       THEN 'gemini' ELSE 'regex' END AS extraction_method FROM s WHERE m <> 8"""
     q["stream_ingest"] = _with(S) + "SELECT source_file, CASE WHEN m = 8 THEN '' ELSE tgt END AS target_table, CASE WHEN m = 8 THEN 'no_primary' ELSE '' END AS failure FROM s"
+    stored = "path IN (SELECT path FROM ftr WHERE o_orderstatus = 'F')"
+    q["pending_by_path"] = _with(S, FOLDER_TRACK) + f"SELECT path FROM fs WHERE NOT {stored}"
+    q["merge_by_path"] = _with(S, FOLDER_TRACK) + f"""SELECT path, tgt AS target_table,
+      CASE WHEN {stored} THEN 'gemini' ELSE 'regex' END AS extraction_method FROM fs WHERE m <> 8"""
+    q["store_upserts"] = _with(S) + """SELECT r.read, source_file, tgt AS target_table, CASE WHEN k % 3 = 0 THEN 'regex' ELSE 'gemini' END AS extraction_method
+      FROM s, (VALUES ('parts'), ('compact')) r(read) WHERE m <> 8 AND k % 7 <> 0"""
+    q["store_refresh"] = _with(S) + """SELECT source_file, CASE WHEN m = 8 AND k % 6 <> 0 THEN 'failed' ELSE 'success' END AS status,
+      CASE WHEN k % 6 = 0 THEN 'EDIT_' || k WHEN m = 8 THEN '' ELSE tgt END AS target_table FROM s"""
+    q["responses_file"] = f"""SELECT 'sp_' || conv_id || '.sql' AS source_file, CASE WHEN turn % 2 = 0 THEN 'claude' ELSE 'gemini' END AS method,
+      count(*) AS n, count(*) FILTER (WHERE is_valid) AS n_valid FROM ({q["responses_parse"]}) GROUP BY ALL"""
+    q["user_extractor"] = _with(S) + """SELECT source_file, CASE WHEN txt LIKE '%UNION%' THEN 0 ELSE (length(txt) - length(replace(txt, ' JOIN ', ''))) // 6 END AS n_joins,
+      CASE WHEN txt LIKE '%UNION%' THEN 'Exception: set operation' WHEN txt NOT LIKE '% JOIN %' THEN 'Returned None' ELSE '' END AS error FROM s"""
     return q

@@ -19,9 +19,9 @@ from ..operators import routing as M
 from ..operators import statements as S
 from ..operators import trace as C
 from ..operators import traverse as B
-from ..sources import corpus, files
-
+from ..sources import corpus, files, store
 from ..streaming import ingest
+from . import keep
 
 _BUILT: dict[tuple[str, str, str], DataFrame] = {}
 STAMP = "2024-06-01T00:00:00Z"
@@ -541,6 +541,71 @@ def stream_ingest(spark, d):
     return spark.read.parquet(out).select("source_file", F.coalesce("target_table", F.lit("")).alias("target_table"), F.coalesce("failure", F.lit("")).alias("failure"))
 
 
+def _folder_tracker(spark, d):
+    rows = corpus.folder_outcomes(spark, d, "part", "sp_", I.SCRIPT)
+    return I.upsert(rows.filter("status = 'success'"), rows.filter("status = 'failed'"))
+
+
+def pending_by_path(spark, d):
+    """Pending scripts where each name is in two folders."""
+    return I.pending(corpus.in_folders(corpus.scripts(spark, d)), _folder_tracker(spark, d)).select("path")
+
+
+def merge_by_path(spark, d):
+    """Records of pending paths over stored records of a model run, each name in two folders."""
+    records = corpus.in_folders(_records(spark, d))
+    fresh = I.pending(records, _folder_tracker(spark, d))
+    return I.merge_results(fresh, records.withColumn("extraction_method", F.lit("gemini"))).select("path", "target_table", "extraction_method")
+
+
+def store_upserts(spark, d):
+    """Records of a model run, then those of every third script anew, then none for every seventh; read before and after compaction."""
+    root = new_path(spark, "store")
+    records = _records(spark, d)
+    paths = corpus.scripts(spark, d).select("path", F.regexp_extract("path", r"\d+", 0).cast("bigint").alias("k"))
+    third, seventh = paths.filter("k % 3 = 0").select("path"), paths.filter("k % 7 = 0").select("path")
+    store.commit(spark, root, {"lineage": store.Change(records.withColumn("extraction_method", F.lit("gemini")))})
+    store.commit(spark, root, {"lineage": store.Change(records.join(third, "path", "left_semi"), third)})
+    last = store.commit(spark, root, {"lineage": store.Change(records.limit(0), seventh)})
+    store.compact(spark, root)
+    shown = lambda seen, name: store.read_table(spark, root, "lineage", seen).select(
+        F.lit(name).alias("read"), "source_file", "target_table", "extraction_method")
+    return shown(last, "parts").unionByName(shown(None, "compact"))
+
+
+def store_refresh(spark, d):
+    """Scripts streamed into a store, then every sixth edited and the folder refreshed."""
+    root, kept, state = (new_path(spark, n) for n in ("incoming", "kept", "progress"))
+    corpus.write_files(corpus.scripts(spark, d), root)
+    ingest.ingest_store(ingest.stream_scripts(spark, root), kept, state).awaitTermination()
+    corpus.write_files(corpus.edited_scripts(spark, d), root)
+    keep.refresh(spark, root, kept)
+    records, _ = files.read_store(spark, kept)
+    tracker = files.read_tracker(spark, kept).select("path", "status")
+    return tracker.join(records.select("path", "target_table"), "path", "left").select(
+        N.file_name(F.col("path")).alias("source_file"), "status", F.coalesce("target_table", F.lit("")).alias("target_table"))
+
+
+def responses_file(spark, d):
+    """Recorded answers written as JSON lines, read back and parsed, counted by file and method."""
+    root = new_path(spark, "answers")
+    corpus.answers(spark, d).select("source_file", "method", "response").write.json(root)
+    parsed = A.parse_responses(files.read_responses(spark, root), ["source_file", "method"])
+    return parsed.groupBy("source_file", "method").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("n_valid"))
+
+
+def _count_joins(txt: str) -> dict | None:
+    if "UNION" in txt:
+        raise ValueError("set operation")
+    return {"n_joins": txt.count(" JOIN ")} if " JOIN " in txt else None
+
+
+def user_extractor(spark, d):
+    """An extractor of the user's own, some of whose calls fail."""
+    return M.user_stage(corpus.scripts(spark, d), _count_joins, "n_joins BIGINT").select(
+        "source_file", F.coalesce("n_joins", F.lit(0)).alias("n_joins"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 ALL = [
     scan_scripts, scan_ddl, store_roundtrip, norm_table, strip_brackets, split_qualified, classify_expr, resolve_alias,
     clean_scripts, split_commas, split_predicates, clause_bounds, statements, primary_stmt, procedure_names, target_tables,
@@ -552,6 +617,7 @@ ALL = [
     upstream_flow, downstream_cycles, lineage_both, lineage_tree, lineage_attributes, column_incoming, column_outgoing,
     trace_inbound, trace_inbound_scripts, trace_outbound, trace_cycles, trace_tables, trace_graph, tracker_upsert, tracker_roundtrip,
     tracker_counts, pending_scripts, pending_ddl, merge_results, stream_ingest,
+    pending_by_path, merge_by_path, store_upserts, store_refresh, responses_file, user_extractor,
 ]
 
 

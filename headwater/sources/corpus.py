@@ -257,7 +257,28 @@ def cycle_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(s, name(i), name((i * 3 + 1) % n))
 
 
-def order_outcomes(spark: SparkSession, sf_dir: str, base: str, prefix: str, kind: str) -> DataFrame:
+def in_folders(rows: DataFrame) -> DataFrame:
+    """Each file once below a/ and once below b/, under the same name."""
+    both = F.explode(F.array(F.lit("a/"), F.lit("b/")))
+    return rows.withColumn("folder", both).withColumn("path", F.concat("folder", "source_file")).select(*rows.columns)
+
+
+def edited_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New texts for the scripts of every sixth part, which load EDIT_k from then on."""
+    k = F.col("p_partkey").cast("string")
+    name = F.concat(F.lit("sp_"), k, F.lit(".sql"))
+    return table(spark, sf_dir, "part").filter("p_partkey % 6 = 0").select(
+        name.alias("source_file"), F.concat(F.lit("INSERT INTO EDIT_"), k, F.lit(" SELECT s.a FROM SRC_"), k, F.lit(" s")).alias("txt"))
+
+
+def folder_outcomes(spark: SparkSession, sf_dir: str, base: str, prefix: str, kind: str) -> DataFrame:
+    """`order_outcomes` with the path: customers of even number stand for folder a/, others for b/."""
+    folder = F.when(F.col("o_custkey") % 2 == 0, "a/").otherwise("b/")
+    rows = order_outcomes(spark, sf_dir, base, prefix, kind, folder.alias("folder"))
+    return rows.withColumn("path", F.concat("folder", "source_file")).drop("folder")
+
+
+def order_outcomes(spark: SparkSession, sf_dir: str, base: str, prefix: str, kind: str, *more: Column) -> DataFrame:
     """Tracker rows from orders: status F is a success, O a failure, P nothing."""
     n = table(spark, sf_dir, base).count()
     name = F.concat(F.lit(prefix), (F.col("o_orderkey") % n).cast("string"), F.lit(".sql"))
@@ -265,7 +286,7 @@ def order_outcomes(spark: SparkSession, sf_dir: str, base: str, prefix: str, kin
     return table(spark, sf_dir, "orders").select(
         F.lit(kind).alias("kind"), name.alias("source_file"), status.alias("status"),
         F.lit("").alias("method"), F.lit("").alias("target_table"), F.lit(None).cast("bigint").alias("tables_found"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("processed_at"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("processed_at"), *more,
     ).filter("status is not null")
 
 
