@@ -11,7 +11,8 @@ import re
 from array import array
 
 #: Letters that are one code point in composed form and whose lower case is one code point too.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!.,;:|%$#&*]*)")
+_MARKS = "!.,;:|%$#&*"
+_PLAIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{_MARKS}]*)")
 _ENCODERS: dict = {}
 
 
@@ -25,7 +26,7 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """`ids(text)`: the ids of a text as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, chunks: int = 350_000):
+    def __init__(self, path: str, chunks: int = 600_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -36,18 +37,20 @@ class Encoder:
 
     def _piece(self, plain: str) -> bytes:
         """Ids of one run of plain letters or marks, which the model sees as a single word."""
-        found = self.known.get(plain)
+        word = plain.lower()
+        found = self.known.get(word)
         if found is None:
-            word = plain.lower()
             if not word.isascii():
                 word = "".join(map(self.letters.__getitem__, word.encode()))
             found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         return found
 
     def chunk(self, chunk: str) -> bytes:
-        plain = _PLAIN.fullmatch(chunk)
-        if plain:
-            found = self._piece(plain[1]) + (self._piece(plain[2]) if plain[2] else b"")
+        letters = chunk.rstrip(_MARKS)
+        if letters.isalpha() and (chunk.isascii() or _PLAIN.fullmatch(chunk)):
+            found = self._piece(letters)
+            if len(letters) < len(chunk):
+                found += self._piece(chunk[len(letters):])
         else:
             found = array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(self.known) >= self.chunks:

@@ -32,6 +32,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     """One file: header, document table and bit-planes of the ids."""
     ids = np.asarray(ids, dtype=np.uint32)
     bits = max(1, int(ids.max()).bit_length() if len(ids) else 1)
+    ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     body, at, planes = [], 0, []
 
     def add(raw: bytes) -> tuple[int, int]:
@@ -41,13 +42,13 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
         return at - len(packed), len(packed)
 
     for b in range(bits - 1, -1, -1):
-        ones = (ids >> np.uint32(b) & np.uint32(1)).astype(bool)
+        ones = (ids & ids.dtype.type(1 << b)) != 0
         packed = np.packbits(ones)
         blocks = [add(packed[i:i + BLOCK // 8].tobytes()) for i in range(0, len(packed), BLOCK // 8)]
-        sums = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
+        sums = np.array([np.count_nonzero(ones[i:i + BLOCK]) for i in range(0, len(ones), BLOCK)], dtype=np.int64)
         planes.append({"bit": b, "zeros": int(len(ones) - sums.sum()), "blocks": blocks,
                        "ones_before": (np.cumsum(sums) - sums).tolist()})
-        ids = np.concatenate([ids[~ones], ids[ones]])
+        ids = np.concatenate([ids.take(np.flatnonzero(~ones)), ids.take(np.flatnonzero(ones))])
     docs = {"ids": add(json.dumps(doc_ids).encode()), "lengths": add(np.asarray(lengths, dtype="<i8").tobytes())}
     head = zlib.compress(json.dumps({"n": len(ids), "bits": bits, "planes": planes, "docs": docs}).encode(), 1)
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *body])
@@ -131,16 +132,16 @@ class WaveletFile:
 
     def tokens(self) -> np.ndarray:
         """All ids: the levels undone from the last to the first."""
-        ids = np.zeros(self.n, dtype=np.uint32)
+        ids = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(len(self._planes) - 1, -1, -1):
             plane = self._planes[level]
             packed = b"".join(self._part(x) for x in plane["blocks"])
             ones = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=self.n).view(bool)
             before = np.empty_like(ids)
-            before[~ones] = ids[: plane["zeros"]]
-            before[ones] = ids[plane["zeros"]:] | np.uint32(1 << plane["bit"])
+            before[np.flatnonzero(~ones)] = ids[: plane["zeros"]]
+            before[np.flatnonzero(ones)] = ids[plane["zeros"]:] | ids.dtype.type(1 << plane["bit"])
             ids = before
-        return ids
+        return ids.astype(np.uint32, copy=False)
 
 
 def _filesystem(path: str):
