@@ -22,46 +22,71 @@ SAMPLES = 64
 def _uniforms(z: Column) -> tuple[Column, Column]:
     """Two numbers inside (0, 1) from the halves of a 64-bit hash."""
     low, high = z.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(z, 32)
-    return (low + F.lit(0.5)) / F.lit(float(1 << 32)), (high + F.lit(0.5)) / F.lit(float(1 << 32))
+    return (low + F.lit(0.5)) * F.lit(1.0 / (1 << 32)), (high + F.lit(0.5)) * F.lit(1.0 / (1 << 32))
 
 
-def draw(term: Column, log_weight: Column, sample: int) -> tuple[Column, Column]:
-    """(value to minimise, sampled code) of a term in one sample.
-
-    With r and c gamma(2, 1), b uniform and t = floor(ln w / r + b), the value is
-    ln c - r * (t - b + 1), the code a hash of the term and t.
-    """
+def variates(term: Column, sample: int) -> tuple[Column, Column, Column]:
+    """What a term draws in one sample whatever its weight: r and c gamma(2, 1), b uniform, as (r, ln c, b)."""
     u1, u2 = _uniforms(F.xxhash64(term, F.lit(2 * sample)))
     z = F.xxhash64(term, F.lit(2 * sample + 1))
     u3, u4 = _uniforms(z)
     u5, _ = _uniforms(F.xxhash64(z))
-    r = -F.log(u1 * u2)
-    t = F.floor(log_weight / r + u5)
-    return F.log(-F.log(u3 * u4)) - r * (t - u5 + F.lit(1.0)), F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF))
+    return -F.log(u1 * u2), F.log(-F.log(u3 * u4)), u5
 
 
-def weighted_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, term, log_weight): hashes of the lower-case words of `text` with the logarithm of their count.
+def draw(term: Column, log_weight: Column, sample: int) -> tuple[Column, Column]:
+    """(value to minimise, sampled code) of a term in one sample; null for a missing weight.
 
-    A text without words has one row whose term is null.
+    With t = floor(ln w / r + b) the value is ln c - r * (t - b + 1), the code a hash of the term and t.
     """
+    r, log_c, b = variates(term, sample)
+    t = F.floor(log_weight / r + b)
+    return log_c - r * (t - b + F.lit(1.0)), F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _packed(term: Column, log_weight: Column, sample: int) -> Column:
+    """Value, in steps of 2^-22, with its code behind it in one long: one number a sample to aggregate."""
+    value, code = draw(term, log_weight, sample)
+    return F.shiftleft(F.floor(value * F.lit(float(1 << 22))).cast("bigint"), 32).bitwiseOR(code)
+
+
+def _codes(names: list[str]) -> Column:
+    return F.array(*[F.coalesce(F.col(n).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(-1)) for n in names])
+
+
+def _words(texts: DataFrame, *columns: str) -> DataFrame:
+    """(columns, term): hashes of the lower-case words of `text`; a text without words has one row whose term is null."""
     words = F.split(F.regexp_replace(F.lower("text"), f"^{BLANKS}|{BLANKS}$", ""), BLANKS)
-    rows = texts.select(*keys, F.explode(words).alias("word")).select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
-    return rows.groupBy(*keys, "term").agg(F.log(F.count(F.lit(1))).alias("log_weight"))
+    rows = texts.select(*columns, F.explode(words).alias("word"))
+    return rows.select(*columns, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
+
+
+def weighted_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term, log_weight): the terms of `text` with the logarithm of their count."""
+    return _words(texts, *keys).groupBy(*keys, "term").agg(F.log(F.count(F.lit(1))).alias("log_weight"))
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(keys, signature): an array of `samples` codes per text; -1 everywhere for a text without words.
+    """(keys, signature): an array of `samples` codes per text."""
+    names = [f"s{i}" for i in range(samples)]
+    best = [F.min(_packed(F.col("term"), F.col("log_weight"), i)).alias(name) for i, name in enumerate(names)]
+    return weighted_terms(texts, keys).groupBy(*keys).agg(*best).select(*keys, _codes(names).alias("signature"))
+
+
+def paired_signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(keys, own, changed): signatures of a text (`which` 0) and of its edited text (1).
 
-    The least value is sought with its code behind it in one long, value steps being 2^-22: one number a sample to aggregate.
+    Terms that are as frequent in both draw once: their samples (`part` 2) count for either text.
     """
-    terms = weighted_terms(texts, keys)
-    best = []
-    for i in range(samples):
-        value, code = draw(F.col("term"), F.col("log_weight"), i)
-        best.append(F.min(F.shiftleft(F.floor(value * F.lit(float(1 << 22))).cast("bigint"), 32).bitwiseOR(code)).alias(f"s{i}"))
-    rows = terms.groupBy(*keys).agg(*best)
-    return rows.select(*keys, F.array(*[F.coalesce(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(-1)) for i in range(samples)]).alias("signature"))
+    count = lambda which: F.count(F.when(F.col("which") == which, 1))
+    terms = _words(texts, *keys, "which").groupBy(*keys, "term").agg(count(0).alias("n0"), count(1).alias("n1"))
+    one = lambda part, n: F.struct(F.lit(part).alias("part"), F.col(n).alias("n"))
+    parts = F.when(F.col("n0") == F.col("n1"), F.array(one(2, "n0"))).otherwise(F.array(one(0, "n0"), one(1, "n1")))
+    terms = terms.select(*keys, "term", F.inline(parts)).filter("n > 0").select(*keys, "term", "part", F.log("n").alias("log_weight"))
+    names = [f"s{i}" for i in range(samples)]
+    best = terms.groupBy(*keys, "part").agg(*[F.min(_packed(F.col("term"), F.col("log_weight"), i)).alias(name) for i, name in enumerate(names)])
+    sides = [F.min(F.when(F.col("part") != other, F.col(name))).alias(f"{side}{name}") for side, other in (("own", 1), ("changed", 0)) for name in names]
+    return best.groupBy(*keys).agg(*sides).select(*keys, *[_codes([f"{side}{name}" for name in names]).alias(side) for side in ("own", "changed")])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -121,9 +146,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     pairs = whole.join(heads, KEY).withColumn(
         "edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))"), "head"))
     both = pairs.select(*KEY, F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    signed = signatures(both, [*KEY, "which"], samples).groupBy(*KEY).agg(
-        F.first(F.when(F.col("which") == 0, F.col("signature")), ignorenulls=True).alias("own"),
-        F.first(F.when(F.col("which") == 1, F.col("signature")), ignorenulls=True).alias("changed"))
+    signed = paired_signatures(both, KEY, samples)
     facts = pairs.select(*KEY, "doc_id", "copies", "n_chars", "next_id0", "next_mark", F.sha2("edited", 256).alias("edited_sha256"))
     rows = materialise(signed.join(facts, KEY), "signatures")
     following = rows.select(F.col("id0").alias("next_id0"), F.col("mark").alias("next_mark"), F.col("own").alias("following"))
