@@ -33,3 +33,9 @@ def remainder_column(doc_id: Column, divisor: int) -> Column:
 def ids_of(column) -> list:
     """A pandas column of nullable longs as Python ints and None."""
     return [None if x is None or x != x else int(x) for x in column.tolist()]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row_no, whole): the rows as one struct each, so that no name of theirs meets an operator's own."""
+    fields = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct(*fields).alias("whole"))

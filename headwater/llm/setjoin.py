@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import materialise
-from .common import text_of
+from .common import numbered, text_of
 from .graph import components, if_small
 
 #: Bits of the two maps that tell repeated and frequent shingles: 16 MB and 4 MB at any input size.
@@ -314,12 +314,13 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by a number of their own, written with them, so rows that repeat an id or have none are
     kept and dropped one by one. Missing text and text without words are like nothing and stay.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "set-rows")
-    found = classes(rows.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_row"), "component_id")
+    rows = materialise(numbered(docs), "set-rows")
+    plain = rows.select("row_no", F.col("whole").getField("doc_id").alias("doc_id"), F.col("whole").getField("text").alias("text"))
+    found = classes(plain.select(F.col("row_no").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("row_no"), "component_id")
     found = materialise(found, "set-found")
     many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("component_id")
-    marked = found.join(many, "component_id").join(rows.select("_row", "doc_id", F.xxhash64(text_of(rows)).alias("mark")), "_row")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "_row")
-    best = marked.groupBy("component_id").agg(F.min(order).alias("best")).select("best._row")
-    gone = marked.select("_row").join(best, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    marked = found.join(many, "component_id").join(plain.select("row_no", "doc_id", F.xxhash64(text_of(plain)).alias("mark")), "row_no")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "row_no")
+    best = marked.groupBy("component_id").agg(F.min(order).alias("best")).select("best.row_no")
+    gone = marked.select("row_no").join(best, "row_no", "left_anti")
+    return rows.join(gone, "row_no", "left_anti").select("whole.*")

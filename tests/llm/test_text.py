@@ -402,3 +402,15 @@ def test_bands_decide_as_the_whole_distance(spark):
     got = pairs.select("norm_a", "norm_b", "most", lines._within(F.col("most")).alias("near")).collect()
     assert {r.near for r in got} == {True, False}
     assert all(r.near == (distance(r.norm_a, r.norm_b) <= r.most) for r in got)
+
+
+def test_columns_of_any_name_come_back(spark):
+    names = ("_row", "_kept", "_lines", "_gone", "row_no", "whole", "kept", "mark", "a.b")
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names)
+    body = "this passage of many plain words stands in two documents of the table"
+    mine = tuple(range(100, 100 + len(names)))
+    docs = spark.createDataFrame([(1, f"{body}\nfirst", *mine), (2, body, *mine), (None, None, *mine)], schema)
+    got = {r[0]: r for r in lines.without_repeats(docs, anchors=lines.ANCHORS).collect()}
+    assert {i: (r[1], r[2:-2]) for i, r in got.items()} == {1: (f"{body}\nfirst", mine), 2: ("", mine), None: (None, mine)}
+    kept = sorted(setjoin.one_of_each(docs, n=5, percent=80).collect(), key=lambda r: (r[0] is None, r[0]))
+    assert [tuple(r) for r in kept] == [(1, f"{body}\nfirst", *mine), (None, None, *mine)]
