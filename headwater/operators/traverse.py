@@ -80,3 +80,11 @@ def lineage(edges: DataFrame, seeds: DataFrame, depth: int = 5, edges_kept: str
 def with_attributes(nodes: DataFrame, node_table: DataFrame) -> DataFrame:
     """Attach node attributes to a reach."""
     return nodes.join(node_table.withColumnRenamed("id", "node"), "node")
+
+
+def with_facts(reached: DataFrame, facts: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+    """Attach to each edge of a reach (seed, src, dst) its facts, one row each; edges without facts give no rows.
+
+    Edges with a large share of all facts are spread over tasks.
+    """
+    return salted_join(reached, facts, ["src", "dst"], hot_keys(facts, ["src", "dst"], min_rows=hot_rows))

@@ -316,6 +316,11 @@ def oracle_sql() -> dict[str, str]:
     both = _with(S, EDGES, _hops("edge", _ALL("edge"), 2, True, "u"), _hops("edge", _ALL("edge"), 2, False, "dn"), recursive=True)
     q["lineage_both"] = both + """SELECT DISTINCT a.seed, src, dst FROM u a JOIN edge ON src = a.node JOIN u b ON b.seed = a.seed AND b.node = dst
       UNION SELECT DISTINCT a.seed, src, dst FROM dn a JOIN edge ON src = a.node JOIN dn b ON b.seed = a.seed AND b.node = dst"""
+    q["lineage_facts"] = _with(S, EDGES, COUNTS, _hops("edge", _ALL("edge"), 2, True, "u"), _hops("edge", _ALL("edge"), 2, False, "dn"), recursive=True) + """
+      SELECT seed, src, dst, cast(n_map AS bigint) AS n_mappings, cast(n_join AS bigint) AS n_joins, cast(n_filter AS bigint) AS n_filters,
+      cast(n_group AS bigint) AS n_grouping FROM (
+        SELECT a.seed, src, dst, m FROM u a JOIN edge ON src = a.node JOIN u b ON b.seed = a.seed AND b.node = dst
+        UNION SELECT a.seed, src, dst, m FROM dn a JOIN edge ON src = a.node JOIN dn b ON b.seed = a.seed AND b.node = dst) JOIN cnt USING (m)"""
     q["lineage_tree"] = _with(CYCLES, _hops("e", _ALL("e"), 3, False), f"h AS ({_MIN})", recursive=True) + """
       SELECT c.seed, min(src) AS src, dst FROM h c JOIN e ON e.dst = c.node JOIN h p ON p.seed = c.seed AND p.node = e.src AND p.hop = c.hop - 1
       WHERE c.hop > 0 AND src <> dst GROUP BY c.seed, dst"""

@@ -425,6 +425,16 @@ def lineage_tree(spark, d):
     return B.reach_edges(e, B.downstream(e, _all_seeds(e), 3), "downstream", "tree")
 
 
+def lineage_facts(spark, d):
+    """Edges between tables within two hops of a seed, with the number of their facts."""
+    records = _records(spark, d)
+    e = G.edges(records)
+    rows = B.with_facts(B.lineage(e, _all_seeds(e), 2)[1], G.edge_facts(records))
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    return rows.groupBy("seed", "src", "dst").agg(
+        n("mapping").alias("n_mappings"), n("join").alias("n_joins"), n("filter").alias("n_filters"), n("grouping").alias("n_grouping"))
+
+
 def lineage_attributes(spark, d):
     """Reach within two hops with node attributes attached."""
     records = _records(spark, d)
@@ -614,7 +624,7 @@ ALL = [
     route_methods, route_counts, attempt_plan, waterfall, run_summary, failures_log, responses_parse, ddl_tables, ddl_columns,
     ddl_primary_keys, catalogue_latest, ddl_tables_found, catalogue_digest, edges, nodes, nodes_enriched, edge_merge,
     column_edges, graph_degrees, node_kinds, graph_stats, graph_export, all_tables, raw_tables, upstream, downstream,
-    upstream_flow, downstream_cycles, lineage_both, lineage_tree, lineage_attributes, column_incoming, column_outgoing,
+    upstream_flow, downstream_cycles, lineage_both, lineage_tree, lineage_facts, lineage_attributes, column_incoming, column_outgoing,
     trace_inbound, trace_inbound_scripts, trace_outbound, trace_cycles, trace_tables, trace_graph, tracker_upsert, tracker_roundtrip,
     tracker_counts, pending_scripts, pending_ddl, merge_results, stream_ingest,
     pending_by_path, merge_by_path, store_upserts, store_refresh, responses_file, user_extractor,

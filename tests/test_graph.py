@@ -82,6 +82,14 @@ def test_diamond(spark):
     assert induced == set(DIAMOND) - {("D", "D")} and tree == {("A", "B"), ("A", "C"), ("B", "D")} and tree <= induced
 
 
+def test_facts_of_a_reach_with_a_hot_edge(spark):
+    reached = spark.createDataFrame([("s", "A", "B"), ("t", "A", "B"), ("s", "B", "C"), ("s", "C", "D")], "seed STRING, src STRING, dst STRING")
+    facts = spark.createDataFrame([("A", "B", f"f{i}") for i in range(40)] + [("B", "C", "g"), ("X", "Y", "h")], "src STRING, dst STRING, k1 STRING")
+    want = {(seed, "A", "B", f"f{i}") for seed in "st" for i in range(40)} | {("s", "B", "C", "g")}
+    got = [(r.seed, r.src, r.dst, r.k1) for r in B.with_facts(reached, facts, hot_rows=10).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def brute_reach(pairs, seed, depth):
     hops, frontier = {seed: 0}, {seed}
     for h in range(1, depth + 1):
