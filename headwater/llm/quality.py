@@ -19,7 +19,7 @@ BUCKETS, STATISTICS, RANK = 1 << 14, 18, 4
 WIDTH = BUCKETS + STATISTICS
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
@@ -144,8 +144,10 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
 
     def keep(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            raw = np.concatenate([np.zeros(0), *(raw_scores(model.value, [features(t) for t in texts[at:at + 256]]) for at in range(0, len(texts), 256))])
+            texts, found = batch.column("text"), [np.zeros(0)]
+            for at in range(0, len(texts), 256):
+                found.append(raw_scores(model.value, [features(t or "") for t in texts.slice(at, 256).to_pylist()]))
+            raw = np.concatenate(found)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -414,3 +414,46 @@ def test_columns_of_any_name_come_back(spark):
     assert {i: (r[1], r[2:-2]) for i, r in got.items()} == {1: (f"{body}\nfirst", mine), 2: ("", mine), None: (None, mine)}
     kept = sorted(setjoin.one_of_each(docs, n=5, percent=80).collect(), key=lambda r: (r[0] is None, r[0]))
     assert [tuple(r) for r in kept] == [(1, f"{body}\nfirst", *mine), (None, None, *mine)]
+
+
+def near_lines():
+    """Lines of 6 to 40 words, each with three copies of which none, a tenth or a fifth of the words are replaced."""
+    rng = random.Random(23)
+    words = [f"{rng.choice('bcdfgh')}{rng.randrange(10 ** rng.choice([1, 2, 4]))}{'a' * rng.randrange(6)}" for _ in range(700)]
+    rows = []
+    for n in (6, 8, 12, 20, 30, 40) * 15:
+        line = [words[int(700 * rng.random() ** 2)] for _ in range(n)]
+        for share in (None, 0, 0.1, 0.2):
+            copy = list(line)
+            for at in rng.sample(range(n), 0 if share is None else max(1, int(share * n))):
+                copy[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy), "a"))
+    return rows
+
+
+def test_weighted_simhash_finds_near_lines(documents):
+    """Against edit similarity alone; rows come through the blocks: lines that share no set of them stay."""
+    rows = near_lines()
+    norm = {i: t for i, t, _ in rows}
+    near = [(a, b) for a in norm for b in norm if a < b and (a // 4 == b // 4 or len({*norm[a].split()} & {*norm[b].split()}) > 2)
+            and 5 * abs(len(norm[a]) - len(norm[b])) <= max(len(norm[a]), len(norm[b])) and 5 * distance(norm[a], norm[b]) <= max(len(norm[a]), len(norm[b]))]
+    blocks = {r.norm: r.blocks for r in lines.blocked_lines(documents(rows)).collect()}
+    assert all(len(b) == lines.WEIGHTED and all(0 <= x < 1 << lines.BLOCK_BITS for x in b) for b in blocks.values())
+    share = lambda a, b: any(all(blocks[norm[a]][i] == blocks[norm[b]][i] for i in at) for at in lines.TABLES)
+    met = [(a, b) for a, b in near if share(a, b)]
+    assert len(near) > 150 and len(met) >= 0.9 * len(near), (len(met), len(near))
+    root = components_of(norm, met)
+    got = {r.doc_id for r in lines.without_repeats(documents(rows), weighted=True).filter("n_dropped = 0").collect()}
+    assert got == {i for i in norm if root[i] == i}
+
+
+def test_line_queries_go_through_simhash(spark, monkeypatch):
+    import corpus_pipeline
+    from headwater.llm import queries
+
+    used = []
+    monkeypatch.setattr(lines, "repeated_lines", lambda docs, similarity, anchors, weighted: used.append((anchors, weighted)) or docs.select(
+        "doc_id", F.xxhash64("text").alias("mark"), F.array(F.lit(0)).alias("kept")))
+    queries.op4_lines(spark, "/root/testdata/sf0.001")
+    corpus_pipeline.fresh_lines(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "")
+    assert used == [(0, True)] * 2
