@@ -7,6 +7,8 @@ probability of their generalised Jaccard similarity: the sum of the smaller over
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,29 +21,37 @@ KEY = ["id0", "mark"]
 SAMPLES = 64
 
 
-def _uniforms(z: Column) -> tuple[Column, Column]:
-    """Two numbers inside (0, 1) from the halves of a 64-bit hash."""
-    low, high = z.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(z, 32)
-    return (low + F.lit(0.5)) * F.lit(1.0 / (1 << 32)), (high + F.lit(0.5)) * F.lit(1.0 / (1 << 32))
+def _hashes(term: Column, sample: int) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a term in one sample; terms are hashes themselves, so one round each after a constant of the sample."""
+    return tuple(F.xxhash64(term.bitwiseXOR(F.lit(int.from_bytes(blake2b(b"%d" % (2 * sample + i), digest_size=8).digest(), "little", signed=True)))) for i in (0, 1))
+
+
+def _uniform(bits: Column, width: int) -> Column:
+    """A number inside (0, 1) from a whole number of `width` bits."""
+    return (bits + F.lit(0.5)) * F.lit(1.0 / (1 << width))
 
 
 def variates(term: Column, sample: int) -> tuple[Column, Column, Column]:
-    """What a term draws in one sample whatever its weight: r and c gamma(2, 1), b uniform, as (r, ln c, b)."""
-    u1, u2 = _uniforms(F.xxhash64(term, F.lit(2 * sample)))
-    z = F.xxhash64(term, F.lit(2 * sample + 1))
-    u3, u4 = _uniforms(z)
-    u5, _ = _uniforms(F.xxhash64(z))
-    return -F.log(u1 * u2), F.log(-F.log(u3 * u4)), u5
+    """What a term draws in one sample whatever its weight: r and c gamma(2, 1), b uniform, as (r, ln c, b).
+
+    Each hash gives two numbers of 26 bits, and their upper 12 bits together a fifth of 24.
+    """
+    y, z = _hashes(term, sample)
+    low = lambda h: _uniform(h.bitwiseAND(F.lit((1 << 26) - 1)), 26)
+    high = lambda h: _uniform(F.shiftrightunsigned(h, 26).bitwiseAND(F.lit((1 << 26) - 1)), 26)
+    b = F.shiftleft(F.shiftrightunsigned(y, 52), 12).bitwiseOR(F.shiftrightunsigned(z, 52))
+    return -F.log(low(y) * high(y)), F.log(-F.log(low(z) * high(z))), _uniform(b, 24)
 
 
 def draw(term: Column, log_weight: Column, sample: int) -> tuple[Column, Column]:
     """(value to minimise, sampled code) of a term in one sample; null for a missing weight.
 
-    With t = floor(ln w / r + b) the value is ln c - r * (t - b + 1), the code a hash of the term and t.
+    With t = floor(ln w / r + b) the value is ln c - r * (t - b + 1), the code 32 bits of the term's hashes with t in them.
     """
+    y, z = _hashes(term, sample)
     r, log_c, b = variates(term, sample)
     t = F.floor(log_weight / r + b)
-    return log_c - r * (t - b + F.lit(1.0)), F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF))
+    return log_c - r * (t - b + F.lit(1.0)), F.shiftrightunsigned(y, 20).bitwiseXOR(z).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _packed(term: Column, log_weight: Column, sample: int) -> Column:
