@@ -457,3 +457,27 @@ def test_line_queries_go_through_simhash(spark, monkeypatch):
     queries.op4_lines(spark, "/root/testdata/sf0.001")
     corpus_pipeline.fresh_lines(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "")
     assert used == [(0, True)] * 2
+
+
+def test_words_in_place_bound_the_distance(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        a = [rng.choice(("a", "bc", "def", "ghij")) for _ in range(rng.choice((1, 5, 12)))]
+        b = list(a)
+        for _ in range(rng.choice((0, 1, 2))):
+            at = rng.randrange(len(b))
+            b[at:at + rng.randrange(2)] = [rng.choice(("k", "lm", "def"))] * rng.randrange(1, 3)
+        rows.append((" ".join(a), " ".join(b), rng.choice((0, 2, 4, 8))))
+    got = spark.createDataFrame(rows, "norm_a string, norm_b string, most int").select(
+        "*", lines._aligned(F.col("most")).alias("near"), *[lines._within(F.col("most"), F.lit(alike)).alias(f"within_{alike}") for alike in (True, False)]).collect()
+    assert sum(r.near for r in got) > 50 and all(distance(r.norm_a, r.norm_b) <= r.most for r in got if r.near)
+    assert all(r.within_True == r.within_False == (distance(r.norm_a, r.norm_b) <= r.most) for r in got)
+
+
+def test_plans_of_components_stay_small(spark, monkeypatch):
+    written, materialise = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: written.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange")) or materialise(df, name))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    assert {r.component for r in graph.components(chain).collect()} == {0}
+    assert len(written) > 3 and max(written) <= 8
