@@ -481,3 +481,22 @@ def test_plans_of_components_stay_small(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
     assert {r.component for r in graph.components(chain).collect()} == {0}
     assert len(written) > 3 and max(written) <= 8
+
+
+def test_copies_meet_by_their_rarest_differences(documents, monkeypatch):
+    """Copies with one word of their own each share shingles they have lost, yet are not compared pair by pair."""
+    base = [f"b{i}" for i in range(40)]
+    rows = [(0, " ".join(base), "a")] + [(i, " ".join(base[:5 + i % 8] + [f"x{i // 3}"] + base[6 + i % 8:]), "a") for i in range(1, 241)]
+    sets = plain_sets(rows)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    root = components_of(sets, links)
+    met, materialise = {}, setjoin.materialise
+
+    def counted(df, name):
+        met[name] = materialise(df, name)
+        return met[name]
+
+    monkeypatch.setattr(setjoin, "materialise", counted)
+    got = {r.doc_id: r.component_id for r in setjoin.classes(documents(rows)).collect()}
+    assert got == root
+    assert met["set-met"].count() < 2 * len(rows)
