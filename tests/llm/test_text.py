@@ -500,3 +500,15 @@ def test_copies_meet_by_their_rarest_differences(documents, monkeypatch):
     got = {r.doc_id: r.component_id for r in setjoin.classes(documents(rows)).collect()}
     assert got == root
     assert met["set-met"].count() < 2 * len(rows)
+
+
+def test_frequency_maps_reach_the_driver_packed(documents):
+    """Of few texts only a few bytes pass through the driver, not the whole maps; tasks put the same maps together."""
+    rows = [(i, f"a{i % 3} b c d e{i % 7} f g h", "a") for i in range(30)]
+    parts = setjoin.frequency_maps(documents(rows), 4, 9)
+    assert parts and sum(len(x) for _, *own in parts for x in own) < 1_000_000
+    times = Counter(int(h) for _, text, _ in rows for h in setjoin.shingle_set(text))
+    maps = setjoin.joined_maps(parts)
+    for held, bits, most in zip(maps, (setjoin.REPEATED_BITS, setjoin.FREQUENT_BITS), (1, 9)):
+        want = {h >> 64 - bits for h, n in times.items() if n > most}
+        assert want and set(np.flatnonzero(np.unpackbits(held, bitorder="little")).tolist()) == want
