@@ -512,3 +512,12 @@ def test_frequency_maps_reach_the_driver_packed(documents):
     for held, bits, most in zip(maps, (setjoin.REPEATED_BITS, setjoin.FREQUENT_BITS), (1, 9)):
         want = {h >> 64 - bits for h, n in times.items() if n > most}
         assert want and set(np.flatnonzero(np.unpackbits(held, bitorder="little")).tolist()) == want
+
+
+def test_lines_that_share_a_few_words_seldom_meet(spark):
+    """Pairs to compare grow with the square of a group, so lines of 23 words of which three are shared are to be kept apart."""
+    rows = [(20 * group + i, " ".join([f"common{group}x{k}" for k in range(3)] + [f"own{group}x{i}x{k}" for k in range(20)])) for group in range(60) for i in range(20)]
+    blocks = lines.weighted_blocks(spark.createDataFrame(rows, "node bigint, norm string"), spark.createDataFrame([], "light bigint"))
+    blocks = {r.node: r.blocks for r in blocks.collect()}
+    met = [(a, b) for a in blocks for b in blocks if a < b and any(all(blocks[a][i] == blocks[b][i] for i in at) for at in lines.TABLES)]
+    assert len(blocks) == 1200 and len(met) <= 30, len(met)
