@@ -50,17 +50,35 @@ def downstream(edges: DataFrame, seeds: DataFrame, depth: int = 5, hot_rows: int
     return _reach(edges, seeds, depth, "downstream", hot_rows, tables)
 
 
+def _at_lesser_end(step: DataFrame, hot_rows: int) -> DataFrame:
+    """(at, other, forward): each edge once, at the end where fewer edges go the same way.
+
+    A table of many edges then holds none that a table of few can name, and no table more than about the square root of all.
+    """
+    n = lambda end: step.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}"))
+    rows = step
+    for end in ("src", "dst"):
+        rows = salted_join(n(end), rows, [end], hot_keys(step, [end], min_rows=hot_rows))
+    forward = F.col("n_src") <= F.col("n_dst")
+    return rows.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("at"),
+                       F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("other"), forward.alias("forward"))
+
+
 def reach_edges(edges: DataFrame, reach: DataFrame, direction: str, edges_kept: str = "induced", hot_rows: int = 100_000) -> DataFrame:
     """Edges of a reach: all between its nodes, or only the discovery edge of each node ("tree").
 
-    The edges of a table that holds a large share of them are spread over tasks.
+    An edge is looked up from the end of fewer edges, so that a table which feeds many others is not met with all of them
+    for each seed that it feeds. The edges of a table that holds a large share of them are spread over tasks.
     """
     if edges_kept == "tree":
         src, dst = ("node", "via") if direction == "upstream" else ("via", "node")
         return reach.filter("hop > 0").select("seed", F.col(src).alias("src"), F.col(dst).alias("dst"))
     step = materialise(edges.filter("src <> dst").select("src", "dst").distinct(), "steps")
-    pairs = salted_join(reach.select("seed", F.col("node").alias("src")), step, ["src"], hot_keys(step, ["src"], min_rows=hot_rows))
-    return pairs.join(reach.select("seed", F.col("node").alias("dst")), ["seed", "dst"]).select("seed", "src", "dst")
+    ends = materialise(_at_lesser_end(step, hot_rows), "steps")
+    pairs = salted_join(reach.select("seed", F.col("node").alias("at")), ends, ["at"], hot_keys(ends, ["at"], min_rows=hot_rows))
+    both = pairs.join(reach.select("seed", F.col("node").alias("other")), ["seed", "other"])
+    return both.select("seed", F.when(F.col("forward"), F.col("at")).otherwise(F.col("other")).alias("src"),
+                       F.when(F.col("forward"), F.col("other")).otherwise(F.col("at")).alias("dst"))
 
 
 def lineage(edges: DataFrame, seeds: DataFrame, depth: int = 5, edges_kept: str = "induced", hot_rows: int = 100_000,

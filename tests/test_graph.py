@@ -228,3 +228,21 @@ def test_edges_of_a_hub_are_spread(spark):
     for a, b in zip(plain, spread):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert plain[1].filter("seed = 'S'").count() == 341
+
+
+def test_a_hub_is_not_met_with_all_its_edges(spark):
+    """A table that feeds many others holds none of those edges in the look-up; the edges of every reach are those of plain Python."""
+    pairs = [("HUB", f"T{i}") for i in range(60)] + [(f"T{i // 2}", f"T{i}") for i in range(1, 60)] + [(f"T{i}", "SINK") for i in range(60)]
+    edges = edge_df(spark, pairs)
+    step = edges.filter("src <> dst").distinct()
+    held = {r["at"]: r["count"] for r in B._at_lesser_end(step, 100_000).groupBy("at").count().collect()}
+    assert "HUB" not in held and "SINK" not in held and max(held.values()) <= 4
+    assert sum(held.values()) == step.count()
+    seeds = spark.createDataFrame([("HUB",), ("SINK",), ("T7",), ("T59",)], "seed STRING")
+    for reach, way in ((B.upstream(edges, seeds, 2), "upstream"), (B.downstream(edges, seeds, 2), "downstream")):
+        nodes = {}
+        for r in reach.collect():
+            nodes.setdefault(r.seed, set()).add(r.node)
+        wanted = sorted((s, a, b) for s, found in nodes.items() for a, b in set(pairs) if a != b and {a, b} <= found)
+        for hot_rows in (100_000, 3):
+            assert sorted(map(tuple, B.reach_edges(edges, reach, way, hot_rows=hot_rows).collect())) == wanted
