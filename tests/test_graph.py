@@ -246,3 +246,20 @@ def test_a_hub_is_not_met_with_all_its_edges(spark):
         wanted = sorted((s, a, b) for s, found in nodes.items() for a, b in set(pairs) if a != b and {a, b} <= found)
         for hot_rows in (100_000, 3):
             assert sorted(map(tuple, B.reach_edges(edges, reach, way, hot_rows=hot_rows).collect())) == wanted
+
+
+def test_steps_are_cut_from_the_text_of_a_path(spark):
+    """Names with dots, bars and letters of several bytes; a text that looks like a visited column is none."""
+    ce = spark.createDataFrame([
+        ("A", "x|Y.z", "B", "ü€.c", "calculation"), ("B", "ü€.c", "Y", "z", ""), ("Y", "z", "B", "ü€.c", "𝔘nion"), ("Y", "z", "W", "w", None),
+    ], COLUMN_EDGES)
+    seeds = spark.createDataFrame([("É.A", "x|Y.z")], "table STRING, column STRING")
+    chains = C.trace_outbound(ce, seeds)
+    got = {r.chain: [tuple(s) for s in r.steps] for r in chains.collect()}
+    head = [("A", "x|Y.z", "calculation", False, None), ("B", "ü€.c", "direct_copy", False, None)]
+    assert got == {
+        "A.x|Y.z|B.ü€.c|Y.z|B.ü€.c": [*head, ("Y", "z", "𝔘nion", False, None), ("B", "ü€.c", "cycle_detected", False, "cycle detected")],
+        "A.x|Y.z|B.ü€.c|Y.z|W.w": [*head, ("Y", "z", "direct_copy", False, None), ("W", "w", "leaf", True, "Not consumed by any other table")]}
+    assert {(r.n_steps, r["last"].table) for r in chains.collect()} == {(4, "B"), (4, "W")}
+    short = chains.select("chain", "n_steps", "last")
+    assert "transform" not in short._jdf.queryExecution().optimizedPlan().toString()
