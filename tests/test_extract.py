@@ -229,3 +229,11 @@ def test_texts_are_read_and_shuffled_once(spark, tmp_path):
     assert len(df.collect()) == 3
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan and plan.count("FileScan") == 1 and "Broadcast" not in plan
+
+
+def test_large_expressions_are_made_once(spark):
+    """A stream plans the extraction for each batch: expressions over columns by name are not built anew."""
+    from headwater.operators import facts as X
+
+    for make in (X._clause_start, X._defines, X._definition, X._piece, R._solved, R._mapped, R._class):
+        assert make() is make()
